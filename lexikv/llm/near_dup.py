@@ -3,17 +3,22 @@
 Documents are sets of word shingles, seen through a fixed number of minwise
 tokens.  Each of several independent trees branches the documents by a few
 chosen tokens: those that share a token's value go down the same branch.  Nodes
-with few documents are compared exhaustively by their tokens; candidate pairs
-are confirmed on full sets.
-
-A large node first compares all its documents with one of them, the pivot.
-Documents that link with the pivot are connected, so pairs among them need no
-comparison.  If few others are left, these are compared with the whole node,
-which ends it; else the node branches again.  Nodes left after the last level
-are finished the same way, block by block, so no case depends on a cap.
+with few documents are compared exhaustively by their tokens, and a spanning
+forest of the likely pairs is kept.  A larger node first compares its documents
+with one of them, the pivot.  If few are unlike it, these are compared with the
+whole node, which ends it; else the node branches again.  Nodes left after the
+last level are finished the same way, block by block, so no case depends on a
+cap.
+
+The forests' components are clusters that no similar pair leaves.  A cluster of
+bounded size is resolved exactly by one task, on the full sets of its
+documents.  Larger clusters are walked by trees once more, now with pairs
+confirmed on full sets on the way: documents confirmed to be similar to a pivot
+are connected, so pairs among them need no comparison.
 
 A pair at the threshold shares each root token with that probability, so all
-roots miss it with (1 - threshold) ** (trees * branches), 1.3e-10 at 0.85 by default.
+roots miss it with (1 - threshold) ** (trees * branches), 1.3e-10 at 0.85 by
+default.
 """
 
 from __future__ import annotations
@@ -37,7 +42,10 @@ class Settings(NamedTuple):
     trees: int = 4
     branches: int = 3
     tokens: int = 64  #: minwise tokens of a document
-    leaf: int = 64  #: nodes of so many documents are compared exhaustively
+    leaf: int = 2048  #: nodes of so many documents are compared exhaustively by tokens
+    few: int = 64  #: documents unlike the pivot that are compared with a whole node
+    cluster_docs: int = 4096  #: clusters of so many documents,
+    cluster_shingles: int = 4_000_000  #: and shingles, are resolved by one task
     levels: int = 8
 
     @property
@@ -110,37 +118,43 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
 
 
-def _leaf_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Candidates (a, b, tree) of small nodes (node, id, tokens); tree: the pair belongs to a spanning forest of its node."""
+def _leaf_pairs(members: DataFrame, s: Settings, forest: bool) -> DataFrame:
+    """Candidates (a, b, tree) of small nodes (node, id, tokens).
+
+    ``tree``: the pair belongs to a spanning forest of its node; with
+    ``forest``, only these.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "node"):
             nodes, ids, tokens = table.column("node").to_numpy(), table.column("id").to_numpy(), _matrix(table.column("tokens"), s.tokens)
             cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
-            out: list[tuple[int, int, bool]] = []
+            left, right, tree = [], [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                parent = list(range(hi - lo))
+                part = np.arange(hi - lo)  # the tree that holds each document
                 for i in range(hi - lo - 1):
-                    same = np.flatnonzero((tokens[lo + i + 1 : hi] == tokens[lo + i]).sum(1) >= s.agree)
-                    for j in (same + i + 1).tolist():
-                        x, y = i, j
-                        while parent[x] != x:
-                            x = parent[x]
-                        while parent[y] != y:
-                            y = parent[y]
-                        parent[y] = x
-                        a, b = sorted((int(ids[lo + i]), int(ids[lo + j])))
-                        out.append((a, b, x != y))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "tree"])
+                    like = np.flatnonzero((tokens[lo + i + 1 : hi] == tokens[lo + i]).sum(1) >= s.agree) + i + 1
+                    fresh = np.zeros(len(like), bool)
+                    if len(like):
+                        others, first = np.unique(part[like], return_index=True)
+                        joins = others != part[i]
+                        fresh[first[joins]] = True
+                        part[np.isin(part, others[joins])] = part[i]
+                    keep = fresh if forest else np.ones(len(like), bool)
+                    left += [ids[lo + i]] * int(keep.sum())
+                    right += ids[lo + like[keep]].tolist()
+                    tree += fresh[keep].tolist()
+            if left:
+                x, y = np.array(left), np.array(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(tree)], ["a", "b", "tree"])
 
     return members.select("node", "id", "tokens").repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "a long, b long, tree boolean")
 
 
 def _probe_pairs(probes: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
     """Candidates of each node's probe documents, in blocks, against all of the node (node, id, tokens)."""
-    blocks = probes.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")) - 1) / s.leaf))
-    blocks = blocks.groupBy("node", "_block", F.pmod(F.xxhash64("id"), F.lit(16)).alias("_part")).agg(F.collect_list(F.struct("id", "tokens")).alias("probes"))  # at most ``leaf``
+    blocks = probes.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")) - 1) / s.few))
+    blocks = blocks.groupBy("node", "_block", F.pmod(F.xxhash64("id"), F.lit(16)).alias("_part")).agg(F.collect_list(F.struct("id", "tokens")).alias("probes"))  # at most ``few``
     near = members.join(blocks, "node").select("id", F.explode(F.filter("probes", lambda p: F.aggregate(F.zip_with("tokens", p["tokens"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) >= s.agree)).alias("p"))
     return near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.lit(True).alias("tree")).filter("a < b")
 
@@ -181,61 +195,138 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def similar_links(docs: DataFrame, unique: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect all similar pairs of ``unique`` (id, tokens), and the components (node, component).
+def _walk(unique: DataFrame, members: DataFrame, s: Settings, confirm: _Confirmer | None) -> DataFrame:
+    """Candidates (a, b, tree) from all trees; ``members``: the nodes at the roots.
 
-    ``docs`` (id, text) has their texts.
+    With ``confirm``, documents count as like the pivot only if they are
+    similar on full sets, and all likely pairs of small nodes are given, not
+    just forests.
     """
-    root = F.posexplode(F.slice("tokens", 1, s.roots)).alias("c", "v")
-    members = settle(_nodes(unique.select("id", root).select(F.xxhash64("c", "v").alias("node"), "id")), "nodes")
-    confirm = _Confirmer(docs, members.select("id").distinct(), s)
     tokens = settle(unique.join(members.select("id").distinct(), "id"), "tokens")
-    candidates: list[DataFrame] = []
-    links: list[DataFrame] = []
+    found: list[DataFrame] = []
     for level in range(s.levels + 1):
-        candidates.append(_leaf_pairs(members.filter(F.col("size") <= s.leaf).join(tokens, "id"), s))
+        found.append(_leaf_pairs(members.filter(F.col("size") <= s.leaf).join(tokens, "id"), s, confirm is None))
         large = members.filter(F.col("size") > s.leaf)
         if large.isEmpty():
             break
         pivots = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")).alias("p")).select("node", F.col("p.id").alias("pivot"))
         pivots = pivots.join(tokens.withColumnsRenamed({"id": "pivot", "tokens": "pivot_tokens"}), "pivot")
         large = large.join(tokens, "id")
-        close = large.join(pivots, "node").filter((F.col("id") != F.col("pivot")) & (_agreeing("tokens", "pivot_tokens") >= s.agree))
-        star = settle(close.select("node", "id", "pivot"), "star")
-        pairs = star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        linked = settle(confirm(pairs), "links")
-        links.append(linked)
-        covered = star.join(linked.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionAll(linked.select(F.col("b").alias("id"), F.col("a").alias("pivot"))), ["id", "pivot"], "left_semi").select("node", "id")
-        others = large.select("node", "id", "tokens").join(covered, ["node", "id"], "left_anti")
-        others = settle(others, "others")  # the pivot itself among them
-        few = others.groupBy("node").agg(F.count("*").alias("left"))
-        if level < s.levels:
-            few = few.filter(F.col("left") <= s.leaf)
-        candidates.append(_probe_pairs(others.join(few, "node", "left_semi"), large.select("node", "id", "tokens"), s))
+        near = large.join(pivots, "node").filter(_agreeing("tokens", "pivot_tokens") >= s.agree)
+        star = settle(near.select("node", "id", "pivot"), "star")
+        pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+        like = star
+        if confirm:
+            linked = settle(confirm(star.select(*pair).filter("a < b").distinct()), "links")
+            both = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionAll(linked.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
+            like = star.filter("id = pivot").unionAll(star.join(both, ["id", "pivot"], "left_semi").select("node", "id", "pivot"))
+        found.append(like.select(*pair).filter("a < b").distinct().withColumn("tree", F.lit(True)))
+        others = settle(large.select("node", "id", "tokens").join(like.select("node", "id"), ["node", "id"], "left_anti"), "others")
+        counts = others.groupBy("node").agg(F.count("*").alias("left"))
+        many = counts.filter(F.col("left") > s.few) if level < s.levels else counts.limit(0)
+        found.append(_probe_pairs(others.join(many, "node", "left_anti"), large.select("node", "id", "tokens"), s))
         if level == s.levels:
             break
-        rest = large.join(few, "node", "left_anti")
+        rest = large.join(many, "node", "left_semi")
         # chosen tokens depend on the node, so that nodes branch independently
         chosen = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(level)) + F.lit(j * (s.tokens // s.branches)), F.lit(s.tokens)).cast("int") for j in range(s.branches)))).alias("c")
         branched = rest.select("node", "id", "tokens", chosen).select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "id")
         members = settle(_nodes(branched), "nodes")
-    found = candidates[0]
-    for more in candidates[1:]:
-        found = found.unionAll(more)
-    found = settle(found.groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
-    links.append(settle(confirm(found.filter("tree")), "links"))
-    linked = links[0]
-    for more in links[1:]:
-        linked = linked.unionAll(more)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return settle(out.groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
+
+
+def _roots(unique: DataFrame, s: Settings) -> DataFrame:
+    """Members (node, id, size) of the trees' first branches."""
+    root = F.posexplode(F.slice("tokens", 1, s.roots)).alias("c", "v")
+    return settle(_nodes(unique.select("id", root).select(F.xxhash64("c", "v").alias("node"), "id")), "nodes")
+
+
+def _connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the first in its component of similar sets.
+
+    Counts all intersections at once: sets as rows of a 0/1 matrix over the
+    shingles that two sets or more have, a slice of columns at a time.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    both = np.zeros((n, n), np.float32)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    row, column = row[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(256, (4 << 20) // n)
+    for a in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [a, a + width])
+        block = np.zeros((n, width), np.float32)
+        block[row[lo:hi], column[lo:hi] - a] = 1
+        both += block @ block.T
+    union = sizes[:, None] + sizes[None, :] - both
+    similar = 100 * both.astype(np.int64) >= percent * union.astype(np.int64)
+    first = np.full(n, -1)
+    for i in range(n):
+        if first[i] < 0:
+            ahead = [i]
+            first[i] = i
+            while ahead:
+                new = np.flatnonzero(similar[ahead].any(0) & (first < 0))
+                first[new] = i
+                ahead = new.tolist()
+    return first
+
+
+def _resolve(docs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of all documents of bounded clusters (node, component): the least ids of exact components."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array([x.tobytes() for x in _sets(batch.column("text"), s.words)], pa.binary())], ["cluster", "id", "set"])
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "cluster"):
+            cluster, ids = table.column("cluster").to_numpy(), table.column("id").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+            cuts = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(ids)]
+            least = np.concatenate([ids[lo + _connected(sets[lo:hi], s.percent)] for lo, hi in zip(cuts, cuts[1:], strict=False)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["node", "component"])
+
+    texts = docs.join(clusters.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"]).select("component", "id", "text")
+    sets = texts.mapInArrow(full, "cluster long, id long, set binary").repartition("cluster").sortWithinPartitions("cluster", "id")
+    return sets.mapInArrow(resolve, "node long, component long")
+
+
+def _resolve_large(docs: DataFrame, unique: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of the documents of clusters of any size, by confirmed links."""
+    s = s._replace(leaf=s.few)
+    members = _roots(unique, s)
+    confirm = _Confirmer(docs, members.select("id").distinct(), s)
+    found = _walk(unique, members, s, confirm)
+    linked = settle(confirm(found.filter("tree")), "links")
     parts = settle(connected_components(linked), "components")
     # pairs outside the forests matter only where they would join two components
     a, b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
     apart = found.filter("not tree").join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    late = settle(confirm(apart), "links")
-    if not late.isEmpty():
-        linked = linked.unionAll(late)
-        parts = settle(connected_components(linked), "components")
-    return linked, parts
+    return connected_components(linked.unionAll(settle(confirm(apart), "links")))
+
+
+def similar_components(docs: DataFrame, unique: DataFrame, s: Settings) -> DataFrame:
+    """(node, component) of the documents of ``unique`` (id, tokens, n_shingles) that have a similar one.
+
+    ``docs`` (id, text) has their texts.
+    """
+    clusters = settle(connected_components(_walk(unique, _roots(unique, s), s, None)), "clusters")
+    sizes = clusters.join(unique.select(F.col("id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("n"))
+    large = settle(sizes.filter((F.col("docs") > s.cluster_docs) | (F.col("n") > s.cluster_shingles)).select("component"), "large")
+    out = settle(_resolve(docs, clusters.join(large, "component", "left_anti"), s), "components")
+    if large.isEmpty():
+        return out
+    own = unique.join(clusters.join(large, "component", "left_semi").select(F.col("node").alias("id")), "id", "left_semi")
+    return out.unionAll(settle(_resolve_large(docs, settle(own, "own"), s), "components"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,8 +343,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id: str =
     some = drawn.filter("doc_id is not null and n_shingles > 0")
     classes = settle(some.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     # tokens of the class, by its least document; a document with two texts has two classes
-    unique = some.join(classes.select("id", F.col("p1").alias("q1"), F.col("p2").alias("q2")), (F.col("doc_id") == F.col("id")) & (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2"))).select("id", "tokens").dropDuplicates(["id"])
-    _, parts = similar_links(texts, unique, settings)
+    unique = some.join(classes.select("id", F.col("p1").alias("q1"), F.col("p2").alias("q2")), (F.col("doc_id") == F.col("id")) & (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2"))).select("id", "tokens", "n_shingles").dropDuplicates(["id"])
+    parts = similar_components(texts, unique, settings)
     named = classes.join(parts, classes["id"] == parts["node"], "left").select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.coalesce("component", "id").alias("of"))
     out = drawn.join(named, (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))

@@ -52,8 +52,8 @@ def test_proximity(spark):
     assert near == {1, 2}
 
 
-@pytest.mark.parametrize("leaf", [2, 64])
-def test_near_duplicates_equal_brute_force(spark, odd_rows, odd_docs, leaf):
+@pytest.mark.parametrize("limits", [{}, {"leaf": 8, "few": 3, "levels": 2, "cluster_docs": 10}])
+def test_near_duplicates_equal_brute_force(spark, odd_rows, odd_docs, limits):
     extra = []
     for base in range(6):  # groups of near copies of several sizes, and a passage that many share
         words = sentences(100 + base, 240).split()
@@ -66,7 +66,7 @@ def test_near_duplicates_equal_brute_force(spark, odd_rows, odd_docs, leaf):
     shared = sentences(77, 30)
     extra += [(3000 + k, f"{shared} {sentences(3000 + k, 25)}", "s") for k in range(80)]
     docs = make_docs(spark, extra).unionAll(odd_docs)
-    s = near_dup.Settings(percent=85, leaf=leaf, levels=3 if leaf == 2 else 8)
+    s = near_dup.Settings(percent=85, **limits)
     out = near_dup.near_duplicates(docs, s).collect()
     want = brute.near_duplicates([(i, t) for i, t, _ in [*extra, *odd_rows] if i is not None], 85)
     assert len(out) == docs.count()
@@ -154,7 +154,8 @@ def test_interleave_equals_brute_force(spark):
     by = defaultdict(list)
     for r in docs.collect():
         by[r.source].append((hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest(), r.doc_id))
-    order = sorted(((k + 0.5) / len(v), s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
+    phase = lambda s: int(hashlib.md5(f"7:{s}".encode()).hexdigest()[:8], 16) / 2**32
+    order = sorted(((k + phase(s)) / len(v), s, h, i) for s, v in by.items() for k, (h, i) in enumerate(sorted(v)))
     small, extra = divmod(len(order), 16)
     want = {}
     for position, (_, _, _, i) in enumerate(order):
