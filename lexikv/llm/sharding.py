@@ -1,9 +1,10 @@
 """Deal rows into shards whose mixture of sources matches the whole.
 
 Rows of each source are shuffled by a seeded hash and get a fractional rank,
-(position + 1/2) / rows of the source.  All rows sorted by that fraction
-interleave the sources in proportion, and equal cuts of that order are the
-shards.
+(position + phase) / rows of the source, with a phase in 0..1 for each source,
+so that sources of a single row don't meet in the middle.  All rows sorted by
+that fraction interleave the sources in proportion, and equal cuts of that
+order are the shards.
 
 Both rankings are exact without gathering a source in one task: rows fall into
 value buckets, the counts of the buckets are summed up, and only the order
@@ -37,6 +38,11 @@ def shuffle_key(id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _unit(key: Column) -> Column:
+    """A key's first 32 bits as a number in 0..1, below 1."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
 def interleave(df: DataFrame, n_shards: int, stratum: str = "source", id: str = "doc_id", seed: int = 7) -> DataFrame:
     """``df`` with columns shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
@@ -54,12 +60,12 @@ def interleave(df: DataFrame, n_shards: int, stratum: str = "source", id: str =
     strata, total = sizes.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     sizes = F.broadcast(sizes) if strata <= _BROADCAST_ROWS else sizes
     rows = rows.alias("l").join(sizes.alias("r"), F.col("l._stratum").eqNullSafe(F.col("r._stratum"))).select("l.*", "r._size")
-    share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    share = _unit(F.col("_key"))
     # at least 64 buckets for a large source, so that it spreads over tasks of any size
     per_source = F.greatest(F.ceil(F.col("_size") / _BUCKET_ROWS), F.least(F.lit(64), F.ceil(F.col("_size") / 64)))
     order = ["_key", "_id", "_tie"]
     ranked = _ranked(rows, ["_stratum"], share, order, per_source, "_rank")
-    ranked = ranked.withColumn("_fraction", (F.col("_rank") + F.lit(0.5)) / F.col("_size"))
+    ranked = ranked.withColumn("_fraction", (F.col("_rank") + _unit(shuffle_key(F.col("_stratum"), seed))) / F.col("_size"))
     placed = _ranked(ranked.withColumn("_all", F.lit(0)), ["_all"], F.col("_fraction"), ["_fraction", "_stratum", *order], max(64, -(-total // _BUCKET_ROWS)), "_position")
     small, extra = divmod(total, n_shards)
     in_large = F.col("_position") < extra * (small + 1)
