@@ -42,6 +42,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 4000, mb: int = 8) -> None:
+    """Let Arrow batches hold few rows and bytes, for functions over whole texts.
+
+    Holds for the session's later queries; smaller settings stay.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch space and read it back.
 
