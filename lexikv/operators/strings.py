@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexikv.operators.ordered import carry_last
+
 WRITES = ("set", "setex", "psetex", "getset")
 DELETES = ("getdel", "del")
 
@@ -93,17 +95,16 @@ def setnx_replies(log: DataFrame) -> DataFrame:
 
 
 def get_as_of(log: DataFrame) -> DataFrame:
-    """(seq, key, value) of each get: the last plain write or null after a delete, by one window."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    """(seq, key, value) of each get: the last plain write before it, or null after a delete."""
     change = F.when(F.col("cmd").isin(*WRITES, *DELETES), F.struct(F.col("cmd").isin(*WRITES).alias("is_write"), "value"))
-    held = log.withColumn("_last", F.last(change, ignorenulls=True).over(w))
+    held = carry_last(log.filter(F.col("cmd").isin(*WRITES, *DELETES, "get")), "key", "seq", change, "_last")
     return held.filter("cmd = 'get'").select("seq", "key", F.when(F.col("_last.is_write"), F.col("_last.value")).alias("value"))
 
 
 def getset_previous(log: DataFrame) -> DataFrame:
     """(seq, key, previous, value) of each plain write: what the write before it left."""
-    w = Window.partitionBy("key").orderBy("seq")
-    return log.filter(F.col("cmd").isin(*WRITES)).select("seq", "key", F.lag("value").over(w).alias("previous"), "value")
+    writes = log.filter(F.col("cmd").isin(*WRITES))
+    return carry_last(writes, "key", "seq", F.struct("value"), "_last").select("seq", "key", F.col("_last.value").alias("previous"), "value")
 
 
 def getdel_replies(log: DataFrame) -> DataFrame:
@@ -127,6 +128,5 @@ def ttl_live(log: DataFrame, now: Column) -> DataFrame:
 
 def getex(log: DataFrame) -> DataFrame:
     """``log`` with expire_at after each command: writes, and getex, set it (ttl null: never, as PERSIST); other rows keep it."""
-    w = Window.partitionBy("key").orderBy("seq")
     sets = F.when(F.col("cmd").isin(*WRITES, "getex"), F.struct((F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))).alias("at")))
-    return log.withColumn("expire_at", F.last(sets, ignorenulls=True).over(w)["at"])
+    return carry_last(log, "key", "seq", sets, "_at", inclusive=True).select(*log.columns, F.col("_at.at").alias("expire_at"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexikv.config import Config
-from lexikv.operators import admin, codec, efficiency, hashes, registry, rewrite, routing, sampling, stats, strings, training
+from lexikv.operators import admin, codec, efficiency, hashes, ordered, registry, rewrite, routing, sampling, stats, strings, training
 from lexikv.sources import manifest, spool
 from lexikv.streaming import store
 
@@ -109,6 +109,23 @@ def test_replay_equals_a_plain_store(spark):
     assert strings.replay(spark.createDataFrame([], LOG)).count() == 0
 
 
+def test_carry_last(spark):
+    rng = random.Random(9)
+    rows = [(i * 2, rng.choice(["a", "b", None]), rng.choice([None, None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, key string, v long")
+    for chunk in (7, 65_536):
+        for inclusive in (False, True):
+            held, want = {}, {}
+            for seq, key, v in rows:
+                if not inclusive:
+                    want[seq] = held.get(key)
+                held[key] = held.get(key) if v is None else v
+                if inclusive:
+                    want[seq] = held.get(key)
+            out = ordered.carry_last(df, "key", "seq", F.col("v"), "last", inclusive, chunk)
+            assert {r.seq: r.last for r in out.collect()} == want
+
+
 def test_string_lookups(spark):
     held = spark.createDataFrame([("a", "1"), ("b", "")], "key string, value string")
     asked = spark.createDataFrame([(1, ["b", "zz", "a", "b"]), (2, []), (3, None)], "request int, keys array<string>")
