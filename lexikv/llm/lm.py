@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexikv.llm import words as W
+from lexikv.workspace import small_batches
 
 
 class Settings(NamedTuple):
@@ -161,6 +162,16 @@ def _chunks(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes, then all second bytes and so on: high bytes are mostly 0, which shuffles compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _corpus(rows: DataFrame) -> tuple[int, int, int, int]:
     """Training tokens, distinct ones, those seen once; bytes of all texts."""
 
@@ -188,6 +199,7 @@ def score_texts(df: DataFrame, held_out: Column, settings: Settings = Settings()
     separately.  Without training rows all tokens are unknown and both scores
     are 0.  Other columns are ignored.
     """
+    small_batches(df.sparkSession)
     s = settings
     rows = df.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_train, distinct, once, n_bytes = _corpus(rows)
@@ -205,11 +217,11 @@ def score_texts(df: DataFrame, held_out: Column, settings: Settings = Settings()
         parts = _chunks(block.keys, 64 - bits)
         return pa.table({
             "bucket": pa.array([k for k, _, _ in parts], pa.int64()), "block": pa.array([texts.column("block")[0].as_py()] * len(parts), pa.int64()),
-            "keys": pa.array([block.keys[a:b].tobytes() for _, a, b in parts], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary()),
+            "keys": pa.array([_pack(block.keys[a:b]) for _, a, b in parts], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary()),
         })
 
     def add_up(sent: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("keys")]
+        keys = [_unpack(x.as_buffer()) for x in sent.column("keys")]
         counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in sent.column("counts")])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, counts).astype("<u8")[at]
