@@ -86,13 +86,13 @@ SELECT event_id, key, CASE WHEN argc > 1 AND NOT starts_with(key, 'dict:') THEN
     "dict_by_id": f"WITH {_REG} SELECT id, uuid FROM (SELECT (id % 100)::INTEGER AS id, uuid, row_number() OVER (PARTITION BY id % 100 ORDER BY created DESC, uuid DESC) AS i FROM reg) WHERE i = 1",
     "dict_reload_diff": f"WITH {_REG}, o AS (SELECT DISTINCT id FROM reg WHERE id % 3 <> 0), n AS (SELECT id, namespaces FROM reg WHERE id % 5 <> 0) SELECT (SELECT count(DISTINCT x) FROM (SELECT unnest(namespaces) AS x FROM n)) AS namespaces, (SELECT count(*) FROM n) AS loaded, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM o)) AS new, (SELECT count(*) FROM n WHERE id IN (SELECT id FROM o)) AS reused, (SELECT count(*) FROM o WHERE id NOT IN (SELECT id FROM n)) AS retired, (SELECT count(*) FROM n) AS failed",
     "dict_gc_eligible": f"WITH {_REG} SELECT uuid FROM reg WHERE retired + INTERVAL 7 DAY <= TIMESTAMP '1997-01-01' AND id NOT IN (SELECT id FROM reg WHERE retired IS NULL)",
-    "dict_retire": f"WITH {_REG}, r AS (SELECT CASE WHEN retired IS NULL AND id IN (SELECT id FROM reg WHERE id % 2 = 0) THEN TIMESTAMP '1997-01-01' ELSE retired END AS retired FROM reg) SELECT retired = TIMESTAMP '1997-01-01' AS now, count(*) AS n FROM r GROUP BY 1",
+    "dict_retire": f"WITH {_REG}, r AS (SELECT CASE WHEN retired IS NULL AND id IN (SELECT id FROM reg WHERE id % 2 = 0) THEN TIMESTAMP '1997-01-01' ELSE retired END AS retired FROM reg) SELECT coalesce(retired = TIMESTAMP '1997-01-01', false) AS now, count(*) AS n FROM r GROUP BY 1",
     "manifest_parse": f"WITH {_REG} SELECT uuid AS path, id, uuid AS stem, namespaces[1] || ',extra' AS namespaces, {_STAMP.format('created')} AS created, 3 AS level, true AS valid FROM reg",
     "manifest_render": f"WITH {_REG} SELECT uuid AS path, id, array_to_string(namespaces, ',') AS namespaces, {_STAMP.format('retired')} AS retired FROM reg",
     "config_parse": """WITH e AS (SELECT event_id, (event_id % 50) + CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END AS x, event_id % 9 AS u FROM events)
 SELECT event_id, CASE u WHEN 0 THEN floor(x * 1024) WHEN 1 THEN floor(x * 1048576) WHEN 2 THEN floor(x * 1073741824) WHEN 3 THEN floor(x) WHEN 6 THEN floor(x * 1048576) END::BIGINT AS bytes,
   CASE u WHEN 3 THEN floor(x) WHEN 5 THEN floor(x) WHEN 6 THEN floor(x * 60) WHEN 7 THEN floor(x * 3600) END::BIGINT AS seconds,
-  CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS flag, (event_id % 3)::DOUBLE / 2 AS fraction FROM e""",
+  CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' WHEN 3 THEN 'false' END AS flag, (event_id % 3)::DOUBLE / 2 AS fraction FROM e""",
     "spool_roundtrip": f"WITH {_DOCS} SELECT key, md5(value) AS value_md5 FROM docs",
     "spool_cap": f"WITH {_DOCS}, r AS (SELECT id AS seq, key, 8 + strlen(key) + strlen(value) AS size FROM docs WHERE {_DRAW.format('key')} <= 2147483647) SELECT seq, key FROM (SELECT seq, key, size, sum(size) OVER (ORDER BY seq) AS s FROM r) WHERE s - size < 524288",
 }

@@ -329,7 +329,7 @@ def dict_gc_eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 def dict_retire(spark: SparkSession, sf: str) -> DataFrame:
     r = d.registry(spark, sf)
-    return registry.retire(r, r.filter("id % 2 = 0").select("id"), _now()).groupBy((F.col("retired") == _now()).alias("now")).agg(F.count("*").alias("n"))
+    return registry.retire(r, r.filter("id % 2 = 0").select("id"), _now()).groupBy(F.coalesce(F.col("retired") == _now(), F.lit(False)).alias("now")).agg(F.count("*").alias("n"))
 
 
 _MANIFEST = "# comment\nid={id}\nCreated = {at}\ndict_file=/var/lib/dicts/{u}.dict\nnamespaces= {ns} , extra,\nlevel=3\nsignature=abc\nunknown=1\n"
@@ -355,7 +355,7 @@ def config_parse(spark: SparkSession, sf: str) -> DataFrame:
     e = d.table(spark, sf, "events")
     text = F.concat((F.col("event_id") % 50).cast("string"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""), F.get(F.array(*(F.lit(u) for u in units)), (F.col("event_id") % 9).cast("int")))
     words = F.get(F.array(*(F.lit(w) for w in ["Yes", "off", "TRUE", "0", "maybe"])), (F.col("event_id") % 5).cast("int"))
-    return e.select("event_id", parse.bytes_of(text).alias("bytes"), parse.seconds_of(text).alias("seconds"), parse.boolean_of(words).alias("flag"), parse.fraction_of((F.col("event_id") % 3 / 2).cast("string")).alias("fraction"))
+    return e.select("event_id", parse.bytes_of(text).alias("bytes"), parse.seconds_of(text).alias("seconds"), parse.boolean_of(words).cast("string").alias("flag"), parse.fraction_of((F.col("event_id") % 3 / 2).cast("string")).alias("fraction"))
 
 
 def spool_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
