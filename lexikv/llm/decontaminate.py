@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexikv.llm import words as W
-from lexikv.workspace import settle
+from lexikv.workspace import settle, small_batches
 
 _SEGMENT_BYTES = 4 << 20
 #: Benchmark text searched at once.  A larger benchmark is searched in several passes over the index.
@@ -176,6 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
     rows that repeat an item id are one item.  Null item ids count as the
     item "None".  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text"))
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(64)), F.lit(0))).first()[0]
     passes = max(1, math.ceil(n_bytes / _PASS_BYTES))

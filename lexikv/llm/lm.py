@@ -64,8 +64,9 @@ class _Block:
             run = W.mix(before * W.salt(10) + token * W.salt(11) + W.salt(20 + n))
             run[place < n - 2] = 0  # reaches before the start
             runs.append(run)
-        self.token, self.first, self.place = token, first, place
+        self.first, self.place = first, place.astype(np.int32)
         self.keys, at = np.unique(np.concatenate([*runs, np.array([0, _START], np.uint64)]), return_inverse=True)
+        at = at.astype(np.int32)
         self.runs = at[: len(token) * order].reshape(order, len(token))  # numbers of the runs in keys
         self.none, self.start = at[-2], at[-1]
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexikv.llm import words as W
 from lexikv.llm.components import connected_components
-from lexikv.workspace import settle
+from lexikv.workspace import settle, small_batches
 
 
 class Settings(NamedTuple):
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id: str =
     repeat an id count as one document; a row without id isn't compared, has
     a null component and is kept.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     drawn = settle(sketches(docs, settings, id, text), "sketches")
     some = drawn.filter("doc_id is not null and n_shingles > 0")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexikv.llm.tokens import TokenIds
 from lexikv.llm.words import slices
+from lexikv.workspace import small_batches
 
 
 class CapacityTree:
@@ -98,7 +99,7 @@ def pieces(df: DataFrame, tokenizer: str, window: int, end_id: int, id: str = "d
     return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 
 
-def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_docs: int = 16_384, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_docs: int = 4096, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequence ids are unique, not dense: the block of documents and the window
@@ -106,6 +107,7 @@ def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, blo
     an id are packed separately.  An empty table gives no rows; other columns
     are ignored.
     """
+    small_batches(df.sparkSession)
     blocks = max(1, math.ceil(df.count() / block_docs))
     cut = pieces(df, tokenizer, window, end_id, id, text).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexikv.llm.files import open_read, replace
 from lexikv.llm.tokens import TokenIds
 from lexikv.llm.words import slices
-from lexikv.workspace import scratch, settle
+from lexikv.workspace import scratch, settle, small_batches
 
 _MAGIC = b"DAC1"
 _STRIDE = 4096
@@ -148,6 +148,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int = 1
     repeat an id are ordered by a hash of their text.  An empty table makes no
     file.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0))).first()[0]
     folder = scratch(df.sparkSession, "tokens")

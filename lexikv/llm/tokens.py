@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-_KEEP = 1_000_000  # chunks; about 150 MB
+_KEEP = 600_000  # chunks; about 120 MB
 #: White space for one of the regular-expression dialects only, or a special token: such texts are encoded whole.
 _WHOLE = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
 _BYTE_LEVEL, _WORD_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile(r"\S+")

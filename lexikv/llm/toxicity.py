@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexikv.llm import words as W
+from lexikv.workspace import small_batches
 
 
 class Settings(NamedTuple):
@@ -80,6 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settin
     stream.  Null labels and labels without a document are passed over; a null
     text is empty.  Without any label the model gives 0.5 for every text.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).filter(~F.coalesce(held_out, F.lit(False))).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(id).alias("_order")).orderBy("_order", "_id", "_label").limit(settings.sample_rows)
     # bounded by sample_rows
     joined = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -119,14 +120,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     A null or empty text has the score of the bias alone.  Columns of ``docs``
     of those names are replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of_text(texts: pd.Series) -> pd.Series:
-        column, out = pa.array(texts, pa.string(), from_pandas=True), []
-        for part in W.slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t", 1 << 20):
-            out.append(scores(part.column("t"), held.value))
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+    @F.arrow_udf("double")
+    def of_text(texts: pa.Array) -> pa.Array:
+        parts = W.slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), "t", 1 << 20)
+        return pa.array(np.concatenate([np.empty(0), *(scores(p.column("t"), held.value) for p in parts)]))
 
     return docs.withColumn("score", of_text(F.col(text).cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

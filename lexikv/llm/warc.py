@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexikv.llm.files import open_read, replace
 from lexikv.llm.words import slices
-from lexikv.workspace import scratch, settle
+from lexikv.workspace import scratch, settle, small_batches
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PIECE = 1 << 16
@@ -110,6 +110,7 @@ def write_archives(df: DataFrame, min_revisit: int = 1000, id: str = "page_id",
     id and payload are all responses.  Where no such row has an id, all are
     responses.  A null payload is empty.  Other columns are ignored.
     """
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = df.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).alias("n"))
     held = rows.filter(F.col("n") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha1", "first")
