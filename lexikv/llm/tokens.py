@@ -1,21 +1,25 @@
 """Token ids of whole texts by a public tokenizer file, as little-endian uint32.
 
 Texts are cut where no token can span: between white space and what precedes
-it.  Each distinct chunk is encoded once by the tokenizers library and then
+it, and between a Latin word and its punctuation.  Each distinct chunk is encoded once by the tokenizers library and then
 kept, so that the common words of a corpus cost a dictionary look-up.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
 import numpy as np
 
 _KEEP = 600_000  # chunks; about 120 MB
-#: White space for one of the regular-expression dialects only, or a special token: such texts are encoded whole.
-_WHOLE = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
-_BYTE_LEVEL, _WORD_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile(r"\S+")
+#: White space for one of the regular-expression dialects only, or the start of a special token: such texts are encoded whole.
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "​", "﻿", "<|")
+#: A word of Latin letters alone is a chunk without the ASCII punctuation that follows it, where no token can span either.
+_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s!-/:-@\[-`{-~]|\Z)"
+_BYTE_LEVEL, _WORD_LEVEL = re.compile(rf" ?{_WORD}| ?\S+|\s+(?!\S)|\s+"), re.compile(rf"{_WORD}|\S+")
+_LATIN_1 = " ".join(chr(c) for c in range(0xA1, 0x100)) + " A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
 
 
 class TokenIds:
@@ -39,11 +43,19 @@ class TokenIds:
         # a chunk of its own between any two chunks, and its ids
         self._mark = "\n" if spaces else " \x01 "
         self._mark_ids = self._encode(self._mark)
+        self._lower = self._encode(_LATIN_1) == self._encode(_LATIN_1.lower())  # case doesn't matter
         self._kept: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _cut(self, text: str) -> list[str]:
+        if self._lower:
+            with contextlib.suppress(UnicodeEncodeError):  # beyond Latin-1, lower-casing is the tokenizer's own
+                text.encode("latin-1")
+                text = text.lower()
+        return self._find(text)
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one call, parted by marks."""
         if len(self._mark_ids) == 1:
@@ -60,8 +72,8 @@ class TokenIds:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; texts should be a few MB at most."""
-        whole = {i: np.array(self._encode(t), "<u4").tobytes() for i, t in enumerate(texts) if t and _WHOLE.search(t)}
-        chunks = [self._find(t) if t and i not in whole else () for i, t in enumerate(texts)]
+        whole = {i: np.array(self._encode(t), "<u4").tobytes() for i, t in enumerate(texts) if t and any(x in t for x in _WHOLE)}
+        chunks = [self._cut(t) if t and i not in whole else () for i, t in enumerate(texts)]
         if len(self._kept) > _KEEP:
             self._kept.clear()
         kept = self._kept
