@@ -144,7 +144,7 @@ def log_final_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_setnx_first(spark: SparkSession, sf: str) -> DataFrame:
-    return strings.setnx_replies(d.log(spark, sf).filter("cmd in ('setnx', 'set', 'getdel')"))
+    return strings.setnx_replies(d.log(spark, sf))
 
 
 def log_getset_prev(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +156,7 @@ def log_get_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_getdel(spark: SparkSession, sf: str) -> DataFrame:
-    return strings.getdel_replies(d.log(spark, sf).filter("cmd in ('set', 'getdel')"))
+    return strings.getdel_replies(d.log(spark, sf))
 
 
 def log_replay(spark: SparkSession, sf: str) -> DataFrame:
