@@ -51,11 +51,59 @@ def last_write(log: DataFrame) -> DataFrame:
     return log.filter(F.col("cmd").isin(*WRITES)).groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
+def _last_life(log: DataFrame) -> DataFrame:
+    """(key, value, expire_at) of keys that hold a value after the whole log.
+
+    ``expire_at`` is that of the plain write the value began with; one begun by setnx or append has none.
+    """
+    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
+    opened = F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.struct("value", expires.alias("expire_at"))).alias("held"))
+    lives = log.filter(F.col("cmd").isin(*WRITES, *DELETES)).groupBy("key").agg(F.max_by(opened, "seq").alias("_life"))
+    began = lives.select(F.col("key").alias("_key"), F.col("_life.seq").alias("_began"))
+    later = log.filter(F.col("cmd").isin("setnx", "append")).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
+    chunks = F.array_sort(F.collect_list(F.when(F.col("cmd") == "append", F.struct("seq", F.coalesce("value", F.lit("")).alias("value")))))
+    first = F.min_by(F.struct("cmd", "value"), "seq")
+    added = later.groupBy(F.col("key").alias("_key")).agg(first.alias("_first"), F.array_join(F.transform(chunks, lambda x: x["value"]), "").alias("_text"))
+    both = lives.join(added, F.col("key").eqNullSafe(F.col("_key")), "full")
+    # without a value, the first setnx or append gives one; appends add to it
+    opener = F.coalesce("_life.held.value", F.when(F.col("_first.cmd") == "setnx", F.coalesce("_first.value", F.lit(""))), F.when(F.col("_first").isNotNull(), F.lit("")))
+    expire_at = F.when(F.col("_life.held.value").isNotNull(), F.col("_life.held.expire_at"))
+    out = both.select(F.coalesce("key", "_key").alias("key"), F.concat(opener, F.coalesce("_text", F.lit(""))).alias("value"), expire_at.alias("expire_at"))
+    return out.filter("value is not null")
+
+
 def final_state(log: DataFrame) -> DataFrame:
-    """(key, value) of keys that live after their last write or delete."""
-    changes = log.filter(F.col("cmd").isin(*WRITES, *DELETES))
-    last = changes.groupBy("key").agg(F.max_by(F.struct("cmd", "value"), "seq").alias("last"))
-    return last.filter(~F.col("last.cmd").isin(*DELETES)).select("key", F.col("last.value").alias("value"))
+    """(key, value) of keys that hold a value after all their commands."""
+    return _last_life(log).select("key", "value")
+
+
+def _before(log: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """``log`` with ``before``: the key's value before each command, null where it has none.
+
+    A life lasts from one plain write or delete up to the next.  It holds the
+    value of the write, or else of the first setnx or append, and what was
+    appended since.  A window sees ``chunk`` sequence numbers of a life at
+    most, as in ``carry_last``.
+    """
+    reset = F.when(F.col("cmd").isin(*WRITES, *DELETES), F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.col("value")).alias("value")))
+    rows = carry_last(log, "key", "seq", reset, "_life", chunk=chunk).withColumn("_from", F.coalesce("_life.seq", F.lit(-1))).withColumn("_chunk", F.floor(F.col("seq") / chunk))
+    first = F.when(F.col("cmd").isin("setnx", "append"), F.struct(F.when(F.col("cmd") == "setnx", F.col("value")).alias("value")))
+    rows = rows.withColumn("_nx", first).withColumn("_add", F.when(F.col("cmd") == "append", F.col("value")))
+    adds = F.array_sort(F.collect_list(F.when(F.col("_add").isNotNull(), F.struct("seq", "_add"))))
+    ends = rows.groupBy("key", "_from", "_chunk").agg(
+        F.min_by("_nx", F.when(F.col("_nx").isNotNull(), F.col("seq"))).alias("_first"), F.array_join(F.transform(adds, lambda x: x["_add"]), "").alias("_adds")
+    )
+    earlier = Window.partitionBy("key", "_from").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col("key").alias("_key"), F.col("_from").alias("_of"), F.col("_chunk").alias("_at"),
+        F.first("_first", ignorenulls=True).over(earlier).alias("_first"), F.array_join(F.collect_list("_adds").over(earlier), "").alias("_adds"),
+    )
+    within = Window.partitionBy("key", "_from", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    here = rows.withColumn("_here", F.first("_nx", ignorenulls=True).over(within)).withColumn("_since", F.collect_list("_add").over(within))
+    met = F.col("key").eqNullSafe(F.col("_key")) & (F.col("_from") == F.col("_of")) & (F.col("_chunk") == F.col("_at"))
+    began = F.when(F.col("_life.value").isNotNull(), F.struct(F.col("_life.value").alias("value"))).otherwise(F.coalesce("_first", "_here"))
+    text = F.concat(F.coalesce(began["value"], F.lit("")), F.coalesce("_adds", F.lit("")), F.array_join("_since", ""))
+    return here.join(carried, met, "left").select(*log.columns, F.when(began.isNotNull(), text).alias("before"))
 
 
 def segments(log: DataFrame) -> DataFrame:
@@ -95,16 +143,13 @@ def setnx_replies(log: DataFrame) -> DataFrame:
 
 
 def get_as_of(log: DataFrame) -> DataFrame:
-    """(seq, key, value) of each get: the last plain write before it, or null after a delete."""
-    change = F.when(F.col("cmd").isin(*WRITES, *DELETES), F.struct(F.col("cmd").isin(*WRITES).alias("is_write"), "value"))
-    held = carry_last(log.filter(F.col("cmd").isin(*WRITES, *DELETES, "get")), "key", "seq", change, "_last")
-    return held.filter("cmd = 'get'").select("seq", "key", F.when(F.col("_last.is_write"), F.col("_last.value")).alias("value"))
+    """(seq, key, value) of each get: what the commands before it left, or null."""
+    return _before(log).filter("cmd = 'get'").select("seq", "key", F.col("before").alias("value"))
 
 
 def getset_previous(log: DataFrame) -> DataFrame:
-    """(seq, key, previous, value) of each plain write: what the write before it left."""
-    writes = log.filter(F.col("cmd").isin(*WRITES))
-    return carry_last(writes, "key", "seq", F.struct("value"), "_last").select("seq", "key", F.col("_last.value").alias("previous"), "value")
+    """(seq, key, previous, value) of each plain write: what the commands before it left."""
+    return _before(log).filter(F.col("cmd").isin(*WRITES)).select("seq", "key", F.col("before").alias("previous"), "value")
 
 
 def getdel_replies(log: DataFrame) -> DataFrame:
@@ -120,10 +165,11 @@ def append_fold(log: DataFrame) -> DataFrame:
 
 
 def ttl_live(log: DataFrame, now: Column) -> DataFrame:
-    """(key, value, expire_at) of keys whose last write hasn't expired at ``now``; ttl null: never."""
-    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
-    last = log.filter(F.col("cmd").isin(*WRITES)).groupBy("key").agg(F.max_by(F.struct("value", expires.alias("expire_at")), "seq").alias("l"))
-    return last.select("key", "l.*").filter(live(F.col("expire_at"), now))
+    """(key, value, expire_at) of keys that hold a value after all their commands, not expired at ``now``; expire_at null: never.
+
+    Expiry is judged at ``now`` only, not between commands (as in ``replay``); getex isn't looked at.
+    """
+    return _last_life(log).filter(live(F.col("expire_at"), now))
 
 
 def getex(log: DataFrame) -> DataFrame:

@@ -1,15 +1,26 @@
 """Log queries against DuckDB over every command of the log, from the lives that log_replay's SQL counts."""
 
+import datetime as dt
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lexikv.operators import strings
 from lexikv.plans.oracles import _LIVES, _LOG
 from lexikv.plans.queries import QUERIES
+from lexikv.streaming.store import apply_command
 from tests.test_queries import SF, _key
 
 WHOLE = {
     "log_setnx_first": "SELECT seq, key, (before IS NULL)::INTEGER AS reply FROM rp WHERE cmd = 'setnx'",
     "log_getdel": "SELECT seq, key, before AS value FROM rp WHERE cmd = 'getdel'",
+    "log_get_asof": "SELECT seq, key, before AS value FROM rp WHERE cmd = 'get'",
+    "log_getset_prev": "SELECT seq, key, before AS previous, value FROM rp WHERE cmd = 'set'",
+    "log_final_state": "SELECT key, after AS value FROM rp QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL",
+    "log_ttl_live": """, l AS (SELECT *, max(CASE WHEN opener IS NOT NULL THEN ts + to_seconds(ttl) END) FILTER (cmd = 'set') OVER (PARTITION BY key, life) AS e FROM rp)
+SELECT key, after AS value, strftime(e, '%Y-%m-%dT%H:%M:%SZ') AS expire_at FROM l QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL AND (e IS NULL OR e > TIMESTAMP '2024-01-20 00:00:00')""",
 }
 
 
@@ -28,3 +39,33 @@ def test_log_query_sees_every_command(spark, name):
     ours, theirs = QUERIES[name](spark, SF).toPandas(), whole_log_rows(name, SF)
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert as_rows(ours) == as_rows(theirs)
+
+
+def random_log(spark):
+    """A log, each command's (before, after) and what the keys hold at the end with their time, from a plain store."""
+    rng, t = random.Random(11), dt.datetime(2024, 1, 1)
+    cmds = ["set", "setex", "setnx", "append", "append", "get", "getdel", "getset", "del"]
+    log = [(i * 3, t, rng.choice(cmds), rng.choice(["a", "b", "c", "d", "e", None]), rng.choice(["", f"v{i}."]), rng.choice([None, 5, 50])) for i in range(500)]
+    log += [(2000 + i, t, c, k, f"w{i}", 5) for i, (c, k) in enumerate([("setnx", "nx"), ("append", "nx"), ("append", "ap"), ("set", "gone"), ("getdel", "gone"), ("set", "late"), ("append", "late")])]
+    held, times, around = {}, {}, {}
+    for seq, _, cmd, key, value, ttl in log:
+        before = held.get(key)
+        held[key], _ = apply_command(cmd, before, value)
+        times[key] = None if held[key] is None else ttl if cmd in strings.WRITES else times.get(key)
+        around[seq] = (before, held[key])
+    df = spark.createDataFrame(log, "seq long, ts timestamp, cmd string, key string, value string, ttl long").repartition(5)
+    return log, df, around, {k: (v, times[k]) for k, v in held.items() if v is not None}
+
+
+def test_reads_equal_a_plain_store(spark):
+    log, df, around, held = random_log(spark)
+    before = {seq: b for seq, (b, _) in around.items()}
+    for chunk in (7, 65_536):
+        assert {r.seq: r.before for r in strings._before(df, chunk).collect()} == before
+    of = lambda *cmds: {x[0]: before[x[0]] for x in log if x[2] in cmds}
+    assert {r.seq: r.value for r in strings.get_as_of(df).collect()} == of("get")
+    assert {r.seq: r.previous for r in strings.getset_previous(df).collect()} == of(*strings.WRITES)
+    assert {r.key: r.value for r in strings.final_state(df).collect()} == {k: v for k, (v, _) in held.items()}
+    assert {"nx", "ap", "late"} <= set(held)
+    live = strings.ttl_live(df, F.to_timestamp(F.lit("2024-01-01 00:00:10")))
+    assert {r.key: r.value for r in live.collect()} == {k: v for k, (v, t) in held.items() if t is None or t > 10}
