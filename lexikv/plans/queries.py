@@ -222,7 +222,8 @@ def hash_hsetnx(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_hgetdel(spark: SparkSession, sf: str) -> DataFrame:
     asked = _hash_writes(spark, sf).select("key", "field").distinct()
-    return hashes.hgetdel(asked, d.hashes(spark, sf))[1].groupBy("key").agg(F.count("*").alias("left_fields"))
+    replies, left = hashes.hgetdel(asked, d.hashes(spark, sf))
+    return replies.withColumn("part", F.lit("reply")).unionByName(left.withColumn("part", F.lit("left")))
 
 
 def hash_hrandfield(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,11 +301,11 @@ def dict_active(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dict_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return registry.ranked(d.registry(spark, sf)).select("ns", "uuid", "rank").filter("rank <= 10")
+    return registry.ranked(d.registry(spark, sf)).select("ns", "uuid", "rank")
 
 
 def dict_retention(spark: SparkSession, sf: str) -> DataFrame:
-    return registry.overflow(d.registry(spark, sf), 10).groupBy().agg(F.count("*").alias("n"), F.sum("id").alias("sum_id"))
+    return registry.overflow(d.registry(spark, sf), 10)
 
 
 def dict_next_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +330,7 @@ def dict_gc_eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 def dict_retire(spark: SparkSession, sf: str) -> DataFrame:
     r = d.registry(spark, sf)
-    return registry.retire(r, r.filter("id % 2 = 0").select("id"), _now()).groupBy(F.coalesce(F.col("retired") == _now(), F.lit(False)).alias("now")).agg(F.count("*").alias("n"))
+    return registry.retire(r, r.filter("id % 2 = 0").select("id"), _now()).select("id", "uuid", parse.time_text(F.col("retired")).alias("retired"))
 
 
 _MANIFEST = "# comment\nid={id}\nCreated = {at}\ndict_file=/var/lib/dicts/{u}.dict\nnamespaces= {ns} , extra,\nlevel=3\nsignature=abc\nunknown=1\n"

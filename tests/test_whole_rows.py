@@ -1,0 +1,25 @@
+"""Queries whose registered SQL only ranks ten, counts or sums, against DuckDB row by row."""
+
+import pytest
+
+from lexikv.plans.oracles import _CONV, _REG, _SPREAD, _STAMP, _WRITES
+from lexikv.plans.queries import QUERIES
+from tests.test_queries import SF, duck  # noqa: F401
+from tests.test_whole_log import as_rows
+
+RANKED = "SELECT ns, uuid, id, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC)::INTEGER AS rank FROM spread"
+WHOLE = {
+    "dict_ranked": f"WITH {_REG}, {_SPREAD} SELECT ns, uuid, rank FROM ({RANKED})",
+    "dict_retention": f"WITH {_REG}, {_SPREAD} SELECT id FROM ({RANKED}) GROUP BY id HAVING min(rank) > 10",
+    "dict_retire": f"WITH {_REG}, r AS (SELECT id, uuid, CASE WHEN retired IS NULL AND id % 2 = 0 THEN TIMESTAMP '1997-01-01' ELSE retired END AS ended FROM reg) SELECT id, uuid, {_STAMP.format('ended')} AS retired FROM r",
+    "hash_hgetdel": f"""WITH {_CONV}, {_WRITES}, a AS (SELECT DISTINCT key, field FROM writes)
+SELECT a.key, a.field, nullif(c.value, '') AS value, 'reply' AS part FROM a LEFT JOIN conv c ON a.key = c.key AND a.field = c.field
+UNION ALL SELECT key, field, value, 'left' FROM conv c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = c.key AND a.field = c.field)""",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_query_gives_every_row(spark, duck, name):  # noqa: F811
+    ours, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(WHOLE[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert as_rows(ours) == as_rows(theirs)
