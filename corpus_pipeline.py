@@ -17,16 +17,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number for each row that no later read changes."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each group; rows without an id stay."""
-    copies = near_dup.near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group: that of least id, rows without an id last.  Each row is compared, also those that repeat an id."""
+    rows = _numbered(docs)
+    found = near_dup.near_duplicates(rows, id="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), "kept")
+    groups = settle(found.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row"), "groups")
+    # a group bears the number of its least row, which is the one kept unless another has the least id
+    least = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_least"))
+    moved = settle(least.select("_group", "_least._row").filter("_row <> _group"), "moved")
+    copies = groups.filter("not kept").select("_row").join(moved, "_row", "left_anti").unionAll(moved.select("_group"))
+    return rows.join(copies, "_row", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without a passage of the benchmark; rows without an id stay."""
-    hit = decontaminate.contamination(docs, q.table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Keep rows without a passage of the benchmark; each row is judged by its own text."""
+    rows = _numbered(docs)
+    hit = decontaminate.contamination(rows, q.table(spark, sf_dir, "benchmark"), id="_row").filter("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(hit, "_row", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
