@@ -106,40 +106,27 @@ def _before(log: DataFrame, chunk: int = 65_536) -> DataFrame:
     return here.join(carried, met, "left").select(*log.columns, F.when(began.isNotNull(), text).alias("before"))
 
 
-def segments(log: DataFrame) -> DataFrame:
-    """``log`` with ``life``: how often the key was written anew or deleted before or at each row.
-
-    Within a life, only setnx and append change the value after its first row.
-    """
-    reset = F.col("cmd").isin(*WRITES, *DELETES)
-    return log.withColumn("life", F.sum(reset.cast("int")).over(Window.partitionBy("key").orderBy("seq")))
-
-
 def replay(log: DataFrame) -> DataFrame:
     """``log`` with ``before`` and ``after``: the key's value around each command, null where it has none.
 
     Knows set, setex, psetex, getset, setnx, append, getdel, del and reads.
     """
-    rows = segments(log)
-    life = Window.partitionBy("key", "life").orderBy("seq")
-    # what starts the life: the write itself, or (no value) a delete or nothing
-    opener = F.first(F.when(F.col("cmd").isin(*WRITES), F.col("value"))).over(life)
-    by_nx = F.when(F.col("cmd").isin("setnx", "append"), F.col("seq"))
-    # without a value, the first setnx or append gives one; later appends add to it
-    starts = F.min(F.when(opener.isNull(), by_nx)).over(life)
-    rows = rows.withColumn("_opener", opener).withColumn("_starts", starts)
-    adds = F.when((F.col("cmd") == "append") | (F.col("seq") == F.col("_starts")), F.col("value"))
-    rows = rows.withColumn("_adds", adds)
-    so_far = F.array_join(F.collect_list(F.when(F.col("_adds").isNotNull(), F.col("_adds"))).over(life), "")
-    has = F.col("_opener").isNotNull() | (F.col("_starts") <= F.col("seq"))
-    after = F.when(has, F.concat(F.coalesce("_opener", F.lit("")), so_far))
-    rows = rows.withColumn("after", after).withColumn("before", F.lag("after").over(Window.partitionBy("key").orderBy("seq")))
-    return rows.drop("_opener", "_starts", "_adds", "life")
+    value = F.coalesce("value", F.lit(""))
+    after = (
+        F.when(F.col("cmd").isin(*WRITES), F.col("value"))
+        .when(F.col("cmd") == "setnx", F.coalesce("before", value))
+        .when(F.col("cmd") == "append", F.concat(F.coalesce("before", F.lit("")), value))
+        .when(~F.col("cmd").isin(*DELETES), F.col("before"))
+    )
+    return _before(log).withColumn("after", after)
 
 
 def setnx_replies(log: DataFrame) -> DataFrame:
     """(seq, key, reply) of each setnx: 1 where the key had no value."""
-    return replay(log).filter("cmd = 'setnx'").select("seq", "key", F.col("before").isNull().cast("int").alias("reply"))
+    adds = F.col("cmd").isin("setnx", "append") | (F.col("cmd").isin(*WRITES) & F.col("value").isNotNull())
+    held = F.when(adds, F.lit(True)).when(F.col("cmd").isin(*WRITES, *DELETES), F.lit(False))
+    rows = carry_last(log, "key", "seq", held, "_held").filter("cmd = 'setnx'")
+    return rows.select("seq", "key", F.when(F.col("_held"), 0).otherwise(1).alias("reply"))
 
 
 def get_as_of(log: DataFrame) -> DataFrame:
@@ -154,7 +141,7 @@ def getset_previous(log: DataFrame) -> DataFrame:
 
 def getdel_replies(log: DataFrame) -> DataFrame:
     """(seq, key, value) of each getdel: the value it takes away."""
-    return replay(log).filter("cmd = 'getdel'").select("seq", "key", F.col("before").alias("value"))
+    return _before(log).filter("cmd = 'getdel'").select("seq", "key", F.col("before").alias("value"))
 
 
 def append_fold(log: DataFrame) -> DataFrame:

@@ -69,3 +69,18 @@ def test_reads_equal_a_plain_store(spark):
     assert {"nx", "ap", "late"} <= set(held)
     live = strings.ttl_live(df, F.to_timestamp(F.lit("2024-01-01 00:00:10")))
     assert {r.key: r.value for r in live.collect()} == {k: v for k, (v, t) in held.items() if t is None or t > 10}
+
+
+def windows_over_whole_keys(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "windowspecdefinition" in x and "_chunk" not in x]
+
+
+def test_replies_and_replay_see_a_key_in_chunks(spark):
+    log, df, around, _ = random_log(spark)
+    assert {r.seq: (r.before, r.after) for r in strings.replay(df).collect()} == around
+    assert {r.seq: r.value for r in strings.getdel_replies(df).collect()} == {x[0]: around[x[0]][0] for x in log if x[2] == "getdel"}
+    assert {r.seq: r.reply for r in strings.setnx_replies(df).collect()} == {x[0]: int(around[x[0]][0] is None) for x in log if x[2] == "setnx"}
+    for out in (strings.replay(df), strings.getdel_replies(df), strings.setnx_replies(df)):
+        assert not windows_over_whole_keys(out)
+    assert "collect_list" not in strings.setnx_replies(df)._jdf.queryExecution().optimizedPlan().toString()
