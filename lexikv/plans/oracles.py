@@ -24,6 +24,7 @@ _EWMA = """SELECT {group} count(*) AS observations, sum(CASE WHEN i = 1 THEN pow
 _SUMS = "sums AS (SELECT *, sum(len) OVER (ORDER BY seq) AS s, row_number() OVER (ORDER BY seq) AS i FROM (SELECT doc_id AS seq, strlen(text)::BIGINT AS len FROM documents) WHERE len <= 1048576)"
 _MAGIC = "28B52FFD 1F8B 04224D18 02214C18 504B0304 FD377A585A00 425A68 FFD8 89504E470D0A1A0A 474946383761 474946383961 4F676753 494433 255044462D".split()
 _LIST = "[" + ",".join(f"'{m}'" for m in [*_MAGIC, "7801", "789C", "4142"]) + "]"
+_RANKED = "SELECT ns, uuid, id, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC)::INTEGER AS rank FROM spread"
 _LIVES = """r AS (SELECT *, sum(CASE WHEN cmd IN ('set','getdel') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS life FROM log),
 o AS (SELECT *, first_value(CASE WHEN cmd = 'set' THEN value END) OVER (PARTITION BY key, life ORDER BY seq) AS opener FROM r),
 st AS (SELECT *, CASE WHEN opener IS NULL THEN min(CASE WHEN cmd IN ('setnx','append') THEN seq END) OVER (PARTITION BY key, life) END AS starts FROM o),
@@ -46,14 +47,17 @@ SQL: dict[str, str] = {
     "string_mset": f"WITH {_LOG} SELECT key, max_by(value, seq) AS value FROM log WHERE cmd = 'set' GROUP BY key",
     "string_msetnx": f"WITH {_LOG}, w AS (SELECT floor(seq / 10)::BIGINT AS request, seq AS pos, key, value FROM log WHERE cmd = 'set') SELECT * FROM w WHERE request NOT IN (SELECT request FROM w WHERE key IN (SELECT 'user:' || (c_custkey * 3) FROM customer))",
     "log_last_set": f"WITH {_LOG} SELECT key, max_by(value, seq) AS value, max(seq) AS seq FROM log WHERE cmd = 'set' GROUP BY key",
-    "log_final_state": f"WITH {_LOG}, c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS i FROM log WHERE cmd IN ('set','getdel')) SELECT key, value FROM c WHERE i = 1 AND cmd = 'set'",
-    "log_setnx_first": f"WITH {_LOG}, p AS (SELECT *, max(CASE WHEN cmd IN ('set','getdel') THEN seq END) OVER w AS last_reset, max(CASE WHEN cmd = 'setnx' THEN seq END) OVER w AS last_nx FROM log WHERE cmd IN ('setnx','set','getdel') WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT p.seq, p.key, CASE WHEN r.cmd = 'set' OR last_nx > coalesce(last_reset, -1) THEN 0 ELSE 1 END AS reply FROM p LEFT JOIN log r ON r.seq = p.last_reset WHERE p.cmd = 'setnx'",
-    "log_getset_prev": f"WITH {_LOG} SELECT seq, key, lag(value) OVER (PARTITION BY key ORDER BY seq) AS previous, value FROM log WHERE cmd = 'set'",
-    "log_get_asof": f"WITH {_LOG} SELECT g.seq, g.key, CASE WHEN c.cmd = 'set' THEN c.value END AS value FROM log g ASOF LEFT JOIN (SELECT * FROM log WHERE cmd IN ('set','getdel')) c ON c.key = g.key AND c.seq < g.seq WHERE g.cmd = 'get'",
-    "log_getdel": f"WITH {_LOG} SELECT g.seq, g.key, CASE WHEN c.cmd = 'set' THEN c.value END AS value FROM log g ASOF LEFT JOIN (SELECT * FROM log WHERE cmd IN ('set','getdel')) c ON c.key = g.key AND c.seq < g.seq WHERE g.cmd = 'getdel'",
+    "log_final_state": f"WITH {_LOG}, {_LIVES} SELECT key, after AS value FROM rp QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL",
+    "log_setnx_first": f"WITH {_LOG}, {_LIVES} SELECT seq, key, (before IS NULL)::INTEGER AS reply FROM rp WHERE cmd = 'setnx'",
+    "log_getset_prev": f"WITH {_LOG}, {_LIVES} SELECT seq, key, before AS previous, value FROM rp WHERE cmd = 'set'",
+    "log_get_asof": f"WITH {_LOG}, {_LIVES} SELECT seq, key, before AS value FROM rp WHERE cmd = 'get'",
+    "log_getdel": f"WITH {_LOG}, {_LIVES} SELECT seq, key, before AS value FROM rp WHERE cmd = 'getdel'",
     "log_replay": f"WITH {_LOG}, {_LIVES} SELECT seq, key, cmd, md5(before) AS before_md5, strlen(after)::BIGINT AS after_len FROM rp",
     "log_append_fold": f"WITH {_LOG}, a AS (SELECT key, string_agg(value, '' ORDER BY seq) AS value FROM log WHERE cmd = 'append' GROUP BY key) SELECT key, value, strlen(value)::BIGINT AS length FROM a",
-    "log_ttl_live": f"WITH {_LOG}, l AS (SELECT key, arg_max(value, seq) AS value, arg_max(ts + to_seconds(ttl), seq) AS e FROM log WHERE cmd = 'set' GROUP BY key) SELECT key, value, {_STAMP.format('e')} AS expire_at FROM l WHERE e > TIMESTAMP '2024-01-20 00:00:00'",
+    "log_ttl_live": f"""WITH {_LOG}, {_LIVES},
+l AS (SELECT *, max(CASE WHEN opener IS NOT NULL THEN ts + to_seconds(ttl) END) FILTER (cmd = 'set') OVER (PARTITION BY key, life) AS e FROM rp)
+SELECT key, after AS value, {_STAMP.format('e')} AS expire_at FROM l
+QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL AND (e IS NULL OR e > TIMESTAMP '2024-01-20 00:00:00')""",
     "log_getex": f"WITH {_LOG}, s AS (SELECT seq, key, CASE WHEN ttl > 0 THEN ts + to_seconds(ttl) END AS e FROM log WHERE cmd IN ('set','get')) SELECT l.seq, l.key, {_STAMP.format('s.e')} AS expire_at FROM log l ASOF LEFT JOIN s ON s.key = l.key AND s.seq <= l.seq",
     "getrange": f"WITH {_LOG} SELECT seq, CASE WHEN length(value) - 3 >= seq % 5 THEN substr(value, seq % 5 + 1, length(value) - 2 - seq % 5) ELSE '' END AS slice FROM log",
     "setrange": f"WITH {_LOG}, s AS (SELECT seq, left(rpad(value, greatest(length(value), seq % 4)::INTEGER, chr(0)), (seq % 4)::BIGINT) || 'HEAD' || substr(value, seq % 4 + 5) AS value FROM log) SELECT seq, value, strlen(value)::BIGINT AS len FROM s",
@@ -64,7 +68,9 @@ SQL: dict[str, str] = {
     "hash_hset_new_fields": f"WITH {_CONV}, {_WRITES}, w AS (SELECT DISTINCT key, field FROM writes) SELECT w.key, sum((c.key IS NULL)::INTEGER)::BIGINT AS added FROM w LEFT JOIN conv c ON w.key = c.key AND w.field = c.field GROUP BY w.key",
     "hash_hset_merged": f"WITH {_CONV}, {_WRITES}, w AS (SELECT key, field, max_by(value, seq) AS value FROM writes GROUP BY key, field) SELECT coalesce(w.key, c.key) AS key, coalesce(w.field, c.field) AS field, md5(coalesce(w.value, c.value)) AS value_md5 FROM w FULL JOIN conv c ON w.key = c.key AND w.field = c.field",
     "hash_hsetnx": f"WITH {_CONV}, {_WRITES} SELECT w.seq, w.key, w.field, (c.key IS NULL AND row_number() OVER (PARTITION BY w.key, w.field ORDER BY w.seq) = 1)::INTEGER AS reply FROM writes w LEFT JOIN conv c ON w.key = c.key AND w.field = c.field",
-    "hash_hgetdel": f"WITH {_CONV}, {_WRITES} SELECT key, count(*) AS left_fields FROM conv c WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.key = c.key AND w.field = c.field) GROUP BY key",
+    "hash_hgetdel": f"""WITH {_CONV}, {_WRITES}, a AS (SELECT DISTINCT key, field FROM writes)
+SELECT a.key, a.field, nullif(c.value, '') AS value, 'reply' AS part FROM a LEFT JOIN conv c ON a.key = c.key AND a.field = c.field
+UNION ALL SELECT key, field, value, 'left' FROM conv c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.key = c.key AND a.field = c.field)""",
     "hash_hrandfield": f"WITH {_CONV} SELECT key, field FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5('5:' || field), field) AS i FROM conv) WHERE i <= 2",
     "hash_expiry": f"WITH w AS (SELECT 'conv:' || user_id AS key, event_type AS field, event_id, CASE WHEN event_id % 3 > 0 THEN ts + to_seconds(event_id % 100) END AS e FROM events) SELECT key, field, {_STAMP.format('e')} AS expire_at FROM (SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY event_id DESC) AS i FROM w) WHERE i = 1",
     "rewrite_rules": """WITH e AS (SELECT event_id, ['get','SET','Substr','hmset','HGETALL','hsetex','ZADD','mget','hset'][event_id % 9 + 1] AS cmd, CASE WHEN event_id % 11 = 0 THEN 'dict:' ELSE 'user:' END || user_id AS key, event_id % 4 AS argc FROM events)
@@ -80,13 +86,15 @@ SELECT event_id, key, CASE WHEN argc > 1 AND NOT starts_with(key, 'dict:') THEN
     "incompressible_rule": f"WITH {_DOCS}, bytes AS ({_BYTES.format(key='key', src='docs')}) SELECT key, share < 0.85 AND entropy >= 7.5 AS skip, round(entropy, 9) AS entropy FROM {_SHARE} JOIN {_ENTROPY} USING (key)",
     "training_feed": f"WITH {_DOCS}, bytes AS ({_BYTES.format(key='key', src='docs')}) SELECT key, strlen(value)::BIGINT AS len FROM docs JOIN {_SHARE} USING (key) JOIN {_ENTROPY} USING (key) WHERE strlen(value) BETWEEN 32 AND 102400 AND {_DRAW.format('key')} <= 2147483647 AND NOT starts_with(key, 'doc:en:') AND NOT (share < 0.85 AND entropy >= 7.5)",
     "dict_active": f"WITH {_REG}, {_SPREAD} SELECT ns, id AS dict_id, dict_size, n AS total_dicts FROM (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC, dict_size DESC) AS i, count(*) OVER (PARTITION BY ns) AS n FROM spread) WHERE i = 1",
-    "dict_ranked": f"WITH {_REG}, {_SPREAD} SELECT * FROM (SELECT ns, uuid, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC)::INTEGER AS rank FROM spread) WHERE rank <= 10",
-    "dict_retention": f"WITH {_REG}, {_SPREAD}, k AS (SELECT id, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC) AS i FROM spread) SELECT count(*) AS n, sum(id)::BIGINT AS sum_id FROM (SELECT id FROM k GROUP BY id HAVING min(i) > 10)",
+    "dict_ranked": f"WITH {_REG}, {_SPREAD} SELECT ns, uuid, rank FROM ({_RANKED})",
+    "dict_retention": f"WITH {_REG}, {_SPREAD} SELECT id FROM ({_RANKED}) GROUP BY id HAVING min(rank) > 10",
     "dict_next_ids": f"WITH {_REG} SELECT row_number() OVER (ORDER BY id)::INTEGER AS k, id::INTEGER AS id FROM (SELECT r AS id FROM range(1, 65536) t(r) WHERE r NOT IN (SELECT id * 2 FROM reg) ORDER BY r LIMIT 50)",
     "dict_by_id": f"WITH {_REG} SELECT id, uuid FROM (SELECT (id % 100)::INTEGER AS id, uuid, row_number() OVER (PARTITION BY id % 100 ORDER BY created DESC, uuid DESC) AS i FROM reg) WHERE i = 1",
     "dict_reload_diff": f"WITH {_REG}, o AS (SELECT DISTINCT id FROM reg WHERE id % 3 <> 0), n AS (SELECT id, namespaces FROM reg WHERE id % 5 <> 0) SELECT (SELECT count(DISTINCT x) FROM (SELECT unnest(namespaces) AS x FROM n)) AS namespaces, (SELECT count(*) FROM n) AS loaded, (SELECT count(*) FROM n WHERE id NOT IN (SELECT id FROM o)) AS new, (SELECT count(*) FROM n WHERE id IN (SELECT id FROM o)) AS reused, (SELECT count(*) FROM o WHERE id NOT IN (SELECT id FROM n)) AS retired, (SELECT count(*) FROM n) AS failed",
     "dict_gc_eligible": f"WITH {_REG} SELECT uuid FROM reg WHERE retired + INTERVAL 7 DAY <= TIMESTAMP '1997-01-01' AND id NOT IN (SELECT id FROM reg WHERE retired IS NULL)",
-    "dict_retire": f"WITH {_REG}, r AS (SELECT CASE WHEN retired IS NULL AND id IN (SELECT id FROM reg WHERE id % 2 = 0) THEN TIMESTAMP '1997-01-01' ELSE retired END AS retired FROM reg) SELECT coalesce(retired = TIMESTAMP '1997-01-01', false) AS now, count(*) AS n FROM r GROUP BY 1",
+    "dict_retire": f"""WITH {_REG},
+r AS (SELECT id, uuid, CASE WHEN retired IS NULL AND id % 2 = 0 THEN TIMESTAMP '1997-01-01' ELSE retired END AS ended FROM reg)
+SELECT id, uuid, {_STAMP.format('ended')} AS retired FROM r""",
     "manifest_parse": f"WITH {_REG} SELECT uuid AS path, id, uuid AS stem, namespaces[1] || ',extra' AS namespaces, {_STAMP.format('created')} AS created, 3 AS level, true AS valid FROM reg",
     "manifest_render": f"WITH {_REG} SELECT uuid AS path, id, array_to_string(namespaces, ',') AS namespaces, {_STAMP.format('retired')} AS retired FROM reg",
     "config_parse": """WITH e AS (SELECT event_id, (event_id % 50) + CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END AS x, event_id % 9 AS u FROM events)
