@@ -10,16 +10,18 @@ whole node, which ends it; else the node branches again.  Nodes left after the
 last level are finished the same way, block by block, so no case depends on a
 cap.
 
-The forests' components are clusters that no similar pair leaves.  A cluster of
-bounded size is resolved exactly by one task, on the full sets of its
-documents.  Larger clusters are walked by trees once more, now with pairs
-confirmed on full sets on the way: documents confirmed to be similar to a pivot
-are connected, so pairs among them need no comparison.
-
-A pair at the threshold shares each root token with that probability, so all
-roots miss it with (1 - threshold) ** (trees * branches).  All trees compare the
-same tokens with the same cut, which drops the pair with a binomial tail once
-for all.  ``Settings.missed`` is the sum: 1.5e-7 at 0.85, 2.4e-8 at 0.8.
+The forests' components are clusters; a similar pair is parted by them only
+with the probability below.  A cluster of bounded size is resolved exactly by
+one task, on the full sets of its documents.  Larger clusters are walked by
+trees once more, now with pairs confirmed on full sets on the way: documents
+confirmed to be similar to a pivot are connected, so pairs among them need no
+comparison.
+
+A pair at the threshold goes down each branch with that probability, so it is
+lost where all roots, or all branches below each root that it shares, part it:
+an extinct branching process, whatever the depth.  All trees compare the same
+tokens with the same cut, which drops the pair with a binomial tail once for
+all.  ``Settings.missed`` is the sum: 1.5e-7 at 0.85, 2.6e-8 at 0.8.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexikv.llm import words as W
@@ -44,7 +46,7 @@ class Settings(NamedTuple):
     trees: int = 4
     branches: int = 3
     tokens: int = 64  #: minwise tokens of a document
-    leaf: int = 2048  #: nodes of so many documents are compared exhaustively by tokens
+    leaf: int = 512  #: nodes of so many documents are compared exhaustively by tokens
     few: int = 64  #: documents unlike the pivot that are compared with a whole node
     cluster_docs: int = 4096  #: clusters of so many documents,
     cluster_shingles: int = 4_000_000  #: and shingles, are resolved by one task
@@ -62,9 +64,12 @@ class Settings(NamedTuple):
 
     @property
     def missed(self) -> float:
-        """Bound of the probability that a pair at the threshold shares no root token or is dropped by ``agree``."""
+        """Bound of the probability that a pair at the threshold never meets in a small node or is dropped by ``agree``."""
         p = self.percent / 100
-        return (1 - p) ** self.roots + sum(math.comb(self.tokens, k) * p**k * (1 - p) ** (self.tokens - k) for k in range(self.agree))
+        lost = 0.0
+        for _ in range(100):
+            lost = (1 - p + p * lost) ** self.branches
+        return (1 - p + p * lost) ** self.roots + sum(math.comb(self.tokens, k) * p**k * (1 - p) ** (self.tokens - k) for k in range(self.agree))
 
 
 def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -74,6 +79,33 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit sums over each set, which tell sets apart; 0 for an empty one."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    out = np.zeros((len(sets), 2), np.int64)
+    if sizes.sum():
+        flat, some = np.concatenate(sets), np.flatnonzero(sizes)
+        for i in range(2):
+            out[some, i] = np.add.reduceat(W.mix(flat ^ W.salt(2000 + i)), (np.cumsum(sizes) - sizes)[some]).view(np.int64)
+    return out
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """``wanted`` (id, doc, p1, p2 and others) with the set of the text of ``doc`` that has these prints."""
+    others = [c for c in wanted.columns if c not in ("id", "doc", "p1", "p2")]
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text", 1 << 20):
+            sets = _sets(batch.column("text"), s.words)
+            prints = _prints(sets)
+            own = np.flatnonzero((prints[:, 0] == batch.column("p1").to_numpy()) & (prints[:, 1] == batch.column("p2").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in ("id", *others)), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", *others, "set"])
+
+    texts = wanted.join(docs, "doc").select("id", *others, "p1", "p2", "text")
+    made = texts.mapInArrow(full, ", ".join(["id long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in others), "set binary"]))
+    return made.dropDuplicates(["id"])  # rows that repeat an id and a text have equal sets
+
+
 def sketches(docs: DataFrame, s: Settings, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, p1 and p2 (a 128-bit print of the set), tokens (null for an empty set)."""
     factors = [W.salt(1000 + i) | np.uint64(1) for i in range(s.tokens)]
@@ -84,14 +116,12 @@ def sketches(docs: DataFrame, s: Settings, id: str = "doc_id", text: str = "text
             sizes = np.array([len(x) for x in sets])
             some = np.flatnonzero(sizes)
             tokens = np.zeros((len(sets), s.tokens), np.int32)
-            prints = np.zeros((len(sets), 2), np.int64)
+            prints = _prints(sets)
             if len(some):
                 flat = np.concatenate(sets)
                 starts = (np.cumsum(sizes) - sizes)[some]
                 for i, f in enumerate(factors):
                     tokens[some, i] = (np.minimum.reduceat(flat * f, starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for i in range(2):
-                    prints[some, i] = np.add.reduceat(W.mix(flat ^ W.salt(2000 + i)), starts).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * s.tokens), pa.array(tokens.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["doc_id", "n_shingles", "p1", "p2", "tokens"])
 
@@ -99,7 +129,7 @@ def sketches(docs: DataFrame, s: Settings, id: str = "doc_id", text: str = "text
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, p1 long, p2 long, tokens array<int>")
 
 
-def _agreeing(a: str, b: str) -> Column:
+def _agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
 
 
@@ -120,6 +150,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+    W.give_back()
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -159,26 +190,27 @@ def _leaf_pairs(members: DataFrame, s: Settings, forest: bool) -> DataFrame:
     return members.select("node", "id", "tokens").repartition("node").sortWithinPartitions("node", "id").mapInArrow(compare, "a long, b long, tree boolean")
 
 
+def _by_node(members: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """Rows of ``members`` (node, id, size, ...) with what ``nodes`` (node, size, ...) has for their node, a large node in parts of about a leaf."""
+    parts = F.ceil(F.col("size") / s.leaf)
+    left = members.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
+    return left.join(nodes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("size"), ["node", "_part"]).drop("_part")
+
+
 def _probe_pairs(probes: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """Candidates of each node's probe documents, in blocks, against all of the node (node, id, tokens)."""
-    blocks = probes.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("node", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")) - 1) / s.few))
-    blocks = blocks.groupBy("node", "_block", F.pmod(F.xxhash64("id"), F.lit(16)).alias("_part")).agg(F.collect_list(F.struct("id", "tokens")).alias("probes"))  # at most ``few``
-    near = members.join(blocks, "node").select("id", F.explode(F.filter("probes", lambda p: F.aggregate(F.zip_with("tokens", p["tokens"], lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) >= s.agree)).alias("p"))
+    """Candidates of each node's probe documents (node, id, size, left, tokens), in blocks of about ``few``, against all of the node."""
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("left") / s.few)).alias("_block")
+    blocks = probes.groupBy("node", "size", block).agg(F.collect_list(F.struct("id", "tokens")).alias("probes"))
+    near = _by_node(members, blocks, s).select("id", F.explode(F.filter("probes", lambda p: _agreeing(F.col("tokens"), p["tokens"]) >= s.agree)).alias("p"))
     return near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.lit(True).alias("tree")).filter("a < b")
 
 
 class _Confirmer:
     """Confirms pairs on full sets, which it makes once for all documents that may need it."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, s: Settings) -> None:
+    def __init__(self, docs: DataFrame, wanted: DataFrame, s: Settings) -> None:
         self.s = s
-
-        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in W.slices(batches, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in _sets(batch.column("text"), s.words)], pa.binary())], ["id", "set"])
-
-        texts = docs.join(ids.select("id"), "id", "left_semi")
-        self.sets = settle(texts.mapInArrow(full, "id long, set binary").dropDuplicates(["id"]), "sets")
+        self.sets = settle(_full_sets(docs, wanted.select("id", "doc", "p1", "p2"), s), "sets")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.s.percent
@@ -217,10 +249,10 @@ def _walk(unique: DataFrame, members: DataFrame, s: Settings, confirm: _Confirme
         large = members.filter(F.col("size") > s.leaf)
         if large.isEmpty():
             break
-        pivots = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")).alias("p")).select("node", F.col("p.id").alias("pivot"))
+        pivots = large.groupBy("node", "size").agg(F.min(F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")).alias("p")).select("node", "size", F.col("p.id").alias("pivot"))
         pivots = pivots.join(tokens.withColumnsRenamed({"id": "pivot", "tokens": "pivot_tokens"}), "pivot")
         large = large.join(tokens, "id")
-        near = large.join(pivots, "node").filter(_agreeing("tokens", "pivot_tokens") >= s.agree)
+        near = _by_node(large, pivots, s).filter(_agreeing(F.col("tokens"), F.col("pivot_tokens")) >= s.agree)
         star = settle(near.select("node", "id", "pivot"), "star")
         pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
         like = star
@@ -229,13 +261,14 @@ def _walk(unique: DataFrame, members: DataFrame, s: Settings, confirm: _Confirme
             both = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionAll(linked.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
             like = star.filter("id = pivot").unionAll(star.join(both, ["id", "pivot"], "left_semi").select("node", "id", "pivot"))
         found.append(like.select(*pair).filter("a < b").distinct().withColumn("tree", F.lit(True)))
-        others = settle(large.select("node", "id", "tokens").join(like.select("node", "id"), ["node", "id"], "left_anti"), "others")
-        counts = others.groupBy("node").agg(F.count("*").alias("left"))
-        many = counts.filter(F.col("left") > s.few) if level < s.levels else counts.limit(0)
-        found.append(_probe_pairs(others.join(many, "node", "left_anti"), large.select("node", "id", "tokens"), s))
-        if level == s.levels:
+        others = settle(large.join(like.select("node", "id"), ["node", "id"], "left_anti"), "others")
+        counts = settle(others.groupBy("node", "size").agg(F.count("*").alias("left")), "counts")
+        last = level == s.levels
+        some = counts if last else counts.filter(F.col("left") <= s.few)
+        found.append(_probe_pairs(_by_node(others, some, s), large, s))
+        if last:
             break
-        rest = large.join(many, "node", "left_semi")
+        rest = _by_node(large, counts.filter(F.col("left") > s.few).drop("left"), s)
         # chosen tokens depend on the node, so that nodes branch independently
         chosen = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(level)) + F.lit(j * (s.tokens // s.branches)), F.lit(s.tokens)).cast("int") for j in range(s.branches)))).alias("c")
         branched = rest.select("node", "id", "tokens", chosen).select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "id")
@@ -253,66 +286,80 @@ def _roots(unique: DataFrame, s: Settings) -> DataFrame:
 
 
 def _connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set, the first in its component of similar sets.
+    """For each set, the first in its component of similar sets, exactly.
 
-    Counts all intersections at once: sets as rows of a 0/1 matrix over the
-    shingles that two sets or more have, a slice of columns at a time.
+    A set that is like no pivot so far becomes one, and all sets are compared
+    with it; what is like a pivot is in its group.  Then only pairs that may
+    join two groups are left.  By the triangle inequality of 1 - similarity
+    such a pair has, on both sides, a set within twice the threshold's distance
+    of the other group's pivot; those sets are compared with all.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets])
-    both = np.zeros((n, n), np.float32)
-    row = np.repeat(np.arange(n), sizes)
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    number = np.cumsum(shared) - 1
-    use = shared[column]
-    row, column = row[use], number[column[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = max(256, (4 << 20) // n)
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(column, [a, a + width])
-        block = np.zeros((n, width), np.float32)
-        block[row[lo:hi], column[lo:hi] - a] = 1
-        both += block @ block.T
-    union = sizes[:, None] + sizes[None, :] - both
-    similar = 100 * both.astype(np.int64) >= percent * union.astype(np.int64)
-    first = np.full(n, -1)
+    starts = np.cumsum(sizes) - sizes
+    distinct, column = np.unique(np.concatenate(sets), return_inverse=True)
+    column = column.astype(np.int32)
+
+    def compared(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles in both and in either, of set i and each set."""
+        own = np.zeros(len(distinct), np.int32)
+        own[column[starts[i] : starts[i] + sizes[i]]] = 1
+        both = np.add.reduceat(own[column], starts)
+        return both, sizes + sizes[i] - both
+
+    group = np.full(n, -1)
+    root: list[int] = []  # of groups, by union
+    close: list[list[int]] = [[] for _ in range(n)]  # groups whose pivot is within twice the distance
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            g = root[g]
+        return g
+
+    def join(groups: np.ndarray) -> None:
+        found = sorted({find(int(g)) for g in groups})
+        for g in found[1:]:
+            root[g] = found[0]
+
+    for i in range(n):
+        if group[i] >= 0:
+            continue
+        both, either = compared(i)
+        like = 100 * both >= percent * either
+        root.append(len(root))
+        join(np.append(np.unique(group[like & (group >= 0)]), root[-1]))
+        group[like & (group < 0)] = len(root) - 1
+        for j in np.flatnonzero(100 * both >= (2 * percent - 100) * either).tolist():
+            close[j].append(len(root) - 1)
     for i in range(n):
-        if first[i] < 0:
-            ahead = [i]
-            first[i] = i
-            while ahead:
-                new = np.flatnonzero(similar[ahead].any(0) & (first < 0))
-                first[new] = i
-                ahead = new.tolist()
-    return first
+        if any(find(g) != find(int(group[i])) for g in close[i]):
+            both, either = compared(i)
+            join(np.unique(group[100 * both >= percent * either]))
+    top = np.array([find(int(g)) for g in group])
+    _, first, at = np.unique(top, return_index=True, return_inverse=True)
+    return first[at]
 
 
 def _resolve(docs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
-    """(node, component) of all documents of bounded clusters (node, component): the least ids of exact components."""
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("id"), pa.array([x.tobytes() for x in _sets(batch.column("text"), s.words)], pa.binary())], ["cluster", "id", "set"])
+    """(node, component) of all documents of bounded clusters (id, doc, p1, p2, cluster): the least ids of exact components."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "cluster"):
             cluster, ids = table.column("cluster").to_numpy(), table.column("id").to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
             cuts = [0, *(np.flatnonzero(np.diff(cluster)) + 1).tolist(), len(ids)]
-            least = np.concatenate([ids[lo + _connected(sets[lo:hi], s.percent)] for lo, hi in zip(cuts, cuts[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["node", "component"])
+            least = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")[lo:hi]]
+                least.append(ids[lo + _connected(sets, s.percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(least))], ["node", "component"])
 
-    texts = docs.join(clusters.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"]).select("component", "id", "text")
-    sets = texts.mapInArrow(full, "cluster long, id long, set binary").repartition("cluster").sortWithinPartitions("cluster", "id")
-    return sets.mapInArrow(resolve, "node long, component long")
+    return _full_sets(docs, clusters, s).repartition("cluster").sortWithinPartitions("cluster", "id").mapInArrow(resolve, "node long, component long")
 
 
 def _resolve_large(docs: DataFrame, unique: DataFrame, s: Settings) -> DataFrame:
     """(node, component) of the documents of clusters of any size, by confirmed links."""
     s = s._replace(leaf=s.few)
     members = _roots(unique, s)
-    confirm = _Confirmer(docs, members.select("id").distinct(), s)
+    confirm = _Confirmer(docs, unique.join(members.select("id"), "id", "left_semi"), s)
     found = _walk(unique, members, s, confirm)
     linked = settle(confirm(found.filter("tree")), "links")
     parts = settle(connected_components(linked), "components")
@@ -323,38 +370,43 @@ def _resolve_large(docs: DataFrame, unique: DataFrame, s: Settings) -> DataFrame
 
 
 def similar_components(docs: DataFrame, unique: DataFrame, s: Settings) -> DataFrame:
-    """(node, component) of the documents of ``unique`` (id, tokens, n_shingles) that have a similar one.
+    """(node, component) of those of ``unique`` (id, doc, p1, p2, tokens, n_shingles) that have a similar one.
 
-    ``docs`` (id, text) has their texts.
+    ``docs`` (doc, text) has their texts; one with the prints p1 and p2 is meant.
     """
-    clusters = settle(connected_components(_walk(unique, _roots(unique, s), s, None)), "clusters")
-    sizes = clusters.join(unique.select(F.col("id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("n"))
-    large = settle(sizes.filter((F.col("docs") > s.cluster_docs) | (F.col("n") > s.cluster_shingles)).select("component"), "large")
-    out = settle(_resolve(docs, clusters.join(large, "component", "left_anti"), s), "components")
+    clusters = settle(connected_components(_walk(unique, _roots(unique, s), s, None)), "clusters").withColumnsRenamed({"node": "id", "component": "cluster"})
+    held = settle(unique.drop("tokens").join(clusters, "id"), "held")
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("n"))
+    large = settle(sizes.filter((F.col("docs") > s.cluster_docs) | (F.col("n") > s.cluster_shingles)).select("cluster"), "large")
+    out = settle(_resolve(docs, held.join(large, "cluster", "left_anti").drop("n_shingles"), s), "components")
     if large.isEmpty():
         return out
-    own = unique.join(clusters.join(large, "component", "left_semi").select(F.col("node").alias("id")), "id", "left_semi")
+    own = unique.join(held.join(large, "cluster", "left_semi"), "id", "left_semi")
     return out.unionAll(settle(_resolve_large(docs, settle(own, "own"), s), "components"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one class from the start, and its least id
-    stands for it.  ``kept`` marks the least id of each component.  A null or
-    empty text, or one without words, is linked with nothing.  Rows that
-    repeat an id count as one document; a row without id isn't compared, has
-    a null component and is kept.  Other columns are ignored.
+    Documents with equal sets are one class from the start.  ``component_id``
+    is the least id in all classes of a component; ``kept`` marks the rows that
+    bear it.  A null or empty text, or one without words, is linked with
+    nothing.  Rows that repeat an id are judged by their own texts; a row
+    without id isn't compared, has a null component and is kept.  A text of
+    any length is compared by all its shingles.  An empty table gives no rows.
+    Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     drawn = settle(sketches(docs, settings, id, text), "sketches")
     some = drawn.filter("doc_id is not null and n_shingles > 0")
-    classes = settle(some.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    # tokens of the class, by its least document; a document with two texts has two classes
-    unique = some.join(classes.select("id", F.col("p1").alias("q1"), F.col("p2").alias("q2")), (F.col("doc_id") == F.col("id")) & (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2"))).select("id", "tokens", "n_shingles").dropDuplicates(["id"])
-    parts = similar_components(texts, unique, settings)
-    named = classes.join(parts, classes["id"] == parts["node"], "left").select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.coalesce("component", "id").alias("of"))
+    # numbered, as an id that repeats may stand for two classes; written out, so that the numbers stay
+    classes = settle(some.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("doc")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    unique = some.withColumnRenamed("doc_id", "doc").join(classes, ["doc", "p1", "p2", "n_shingles"]).dropDuplicates(["id"])
+    parts = similar_components(texts, settle(unique, "unique"), settings)
+    placed = settle(classes.join(parts, classes["id"] == parts["node"], "left").select("p1", "p2", "n_shingles", "doc", F.coalesce("component", "id").alias("of")), "placed")
+    least = placed.groupBy("of").agg(F.min("doc").alias("least"))
+    named = placed.join(least, "of").select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), "least")
     out = drawn.join(named, (F.col("p1") == F.col("q1")) & (F.col("p2") == F.col("q2")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

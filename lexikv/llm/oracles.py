@@ -5,7 +5,7 @@ from __future__ import annotations
 _URL = r"""
 WITH parts AS (
   SELECT page_id,
-    coalesce(lower_az(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)), '') AS host,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(verdict, host, path) AS (VALUES ('block','net','/'), ('allow','example.net','/en/'), ('block','example.com','/de/'), ('allow','org','/fr/')),
@@ -15,7 +15,7 @@ fits AS (
   GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f USING (page_id)
-""".replace("lower_az(", "translate(").replace(", 1)), '') AS host", ", 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host")
+"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -3,9 +3,10 @@
 Every document is first cut into full windows; only what remains of it, less
 than a window, is placed.  Remainders go largest first into the open window
 with the least room that suffices, which a segment tree over remaining
-capacities finds in log(window) steps.  Documents are dealt into blocks by a
-hash of their id, each packed by one task, so a task's memory is bounded and
-only the last few windows of a block stay part empty.
+capacities finds in log(window) steps.  Pieces are numbered, written out and
+dealt into blocks by a hash of their number, each packed by one task, so a
+task's memory is bounded whatever ids repeat, and only the last few windows of
+a block stay part empty.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexikv.llm.tokens import TokenIds
 from lexikv.llm.words import slices
-from lexikv.workspace import small_batches
+from lexikv.workspace import settle, small_batches
 
 
 class CapacityTree:
@@ -99,17 +100,19 @@ def pieces(df: DataFrame, tokenizer: str, window: int, end_id: int, id: str = "d
     return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 
 
-def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_docs: int = 4096, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_pieces: int = 8192, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Sequence ids are unique, not dense: the block of documents and the window
-    in it.  A null or empty text is its end id alone.  Documents that repeat
-    an id are packed separately.  An empty table gives no rows; other columns
-    are ignored.
+    Sequence ids are unique, not dense: the block of pieces and the window in
+    it.  A null or empty text is its end id alone.  Documents that repeat an
+    id are packed separately.  A very long text is encoded in parts and gives
+    as many full windows as it fills.  An empty table gives no rows; other
+    columns are ignored.
     """
     small_batches(df.sparkSession)
-    blocks = max(1, math.ceil(df.count() / block_docs))
-    cut = pieces(df, tokenizer, window, end_id, id, text).withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    cut = settle(pieces(df, tokenizer, window, end_id, id, text).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    blocks = max(1, math.ceil(cut.count() / block_pieces))
+    cut = cut.withColumn("_block", F.pmod(F.xxhash64("_piece"), F.lit(blocks)).cast("int")).drop("_piece")
 
     def place(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable", ignore_index=True)

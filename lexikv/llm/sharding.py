@@ -49,13 +49,16 @@ def interleave(df: DataFrame, n_shards: int, stratum: str = "source", id: str =
     Row counts of shards differ by one at most.  A null stratum is a stratum
     of its own.  Rows that repeat an id follow each other in the shuffle in an
     order that all their columns decide; equal rows are interchangeable.
-    An empty table gives no rows.  Columns of ``df`` named shard or slot are
+    Texts of any length, null ones too, are rows like others.  An empty table
+    gives no rows.  Columns of ``df`` named shard or slot are
     replaced.
     """
     keep = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = df.select(F.struct(*keep).alias("_row"), F.col(stratum).cast("string").alias("_stratum"), shuffle_key(F.col(id), seed).alias("_key"), F.col(id).cast("string").alias("_id"))
+    rows = df.select(F.struct(*keep).alias("_row"), F.col(stratum).cast("string").alias("_stratum"), F.col(id).cast("string").alias("_id")).withColumn("_tie", F.xxhash64("_row"))
+    # rows without an id are shuffled by all their columns
+    key = F.when(F.col("_id").isNotNull(), shuffle_key(F.col("_id"), seed)).otherwise(shuffle_key(F.concat(F.lit("?"), F.col("_tie").cast("string")), seed))
     # settled, as several jobs read it and equal keys must keep their order
-    rows = settle(rows.withColumn("_tie", F.xxhash64("_row")), "strata")
+    rows = settle(rows.withColumn("_key", key), "strata")
     sizes = settle(rows.groupBy("_stratum").agg(F.count("*").alias("_size")), "sizes")
     strata, total = sizes.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     sizes = F.broadcast(sizes) if strata <= _BROADCAST_ROWS else sizes

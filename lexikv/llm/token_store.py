@@ -140,17 +140,21 @@ class DacReader:
         return self.read(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int = 16 << 20, id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write each document's ids and ``end_id`` in ascending id order, null ids first.
 
     Returns a row for each file: part (in order), path, n_docs, n_ids, first_id
     (the ids in the files before it).  A null text is empty.  Documents that
-    repeat an id are ordered by a hash of their text.  An empty table makes no
-    file.
+    repeat an id are ordered by a hash of their text, and any number of them
+    spreads over files.  ``file_bytes`` is the text that a file takes; unless
+    given it grows with the corpus from 16 to 256 MB.  A very long text is
+    encoded in parts and stays in one file.  An empty table makes no file.
+    Other columns are ignored.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(8)), F.lit(0))).first()[0]
+    file_bytes = file_bytes or min(256 << 20, max(16 << 20, n_bytes >> 12))
     folder = scratch(df.sparkSession, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,10 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int = 1
             writer.write(path)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]})
 
-    ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(max(1, n_bytes // file_bytes), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
+    # the number parts equal rows, which come in any order
+    order = ["doc_id", "_h", "_n"]
+    numbered = rows.withColumn("_h", F.xxhash64("text")).withColumn("_n", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(max(1, n_bytes // file_bytes), *order).sortWithinPartitions(*order).drop("_h", "_n")
     files = settle(ordered.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one short row for each file
     return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

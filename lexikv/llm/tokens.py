@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, as little-endian uint32.
 
 Texts are cut where no token can span: between white space and what precedes
-it, and between a Latin word and its punctuation.  Each distinct chunk is encoded once by the tokenizers library and then
-kept, so that the common words of a corpus cost a dictionary look-up.
+it, and between a Latin word and its punctuation.  Each distinct chunk is
+encoded once by the tokenizers library and then kept, up to a number of bytes,
+so that the common words of a corpus cost a dictionary look-up.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import re
 
 import numpy as np
 
-_KEEP = 600_000  # chunks; about 120 MB
+_KEEP_BYTES = 48 << 20  # of chunks and their ids, as Python objects
+_SPAN = 1 << 18  # characters of a text that are cut into chunks at once
+_BLANK_BETWEEN_LETTERS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: White space for one of the regular-expression dialects only, or the start of a special token: such texts are encoded whole.
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "​", "﻿", "<|")
 #: A word of Latin letters alone is a chunk without the ASCII punctuation that follows it, where no token can span either.
@@ -45,6 +48,7 @@ class TokenIds:
         self._mark_ids = self._encode(self._mark)
         self._lower = self._encode(_LATIN_1) == self._encode(_LATIN_1.lower())  # case doesn't matter
         self._kept: dict[str, bytes] = {}
+        self._kept_bytes = 0
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -70,15 +74,30 @@ class TokenIds:
         for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self._kept[chunk] = np.array(e.ids, "<u4").tobytes()
 
+    def _spans(self, text: str) -> list[str]:
+        """``text`` in parts of about ``_SPAN`` characters, cut before a blank between two ASCII letters, where every dialect cuts."""
+        parts, a = [], 0
+        while len(text) - a > 2 * _SPAN and (cut := _BLANK_BETWEEN_LETTERS.search(text, a + _SPAN)):
+            parts.append(text[a : cut.start()])
+            a = cut.start()
+        return [*parts, text[a:]]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; texts should be a few MB at most."""
+        """The ids of each text; texts should be a few MB together, or one, which is encoded in parts."""
+        if len(texts) == 1 and texts[0] and len(texts[0]) > 2 * _SPAN:
+            return [b"".join(self._ids([part])[0] for part in self._spans(texts[0]))]
+        return self._ids(texts)
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         whole = {i: np.array(self._encode(t), "<u4").tobytes() for i, t in enumerate(texts) if t and any(x in t for x in _WHOLE)}
         chunks = [self._cut(t) if t and i not in whole else () for i, t in enumerate(texts)]
-        if len(self._kept) > _KEEP:
-            self._kept.clear()
         kept = self._kept
         new = set().union(*chunks).difference(kept)
+        if self._kept_bytes > _KEEP_BYTES:
+            kept.clear()
+            self._kept_bytes, new = 0, set().union(*chunks)
         for some in ({c for c in new if c.isspace()}, {c for c in new if not c.isspace()}):
             if some:
                 self._learn(list(some))
+        self._kept_bytes += sum(180 + len(c) + len(kept[c]) for c in new)
         return [whole[i] if i in whole else b"".join([kept[c] for c in cs]) for i, cs in enumerate(chunks)]

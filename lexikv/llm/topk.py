@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexikv.workspace import settle
+
 _FAN_IN = 64
 _STEP = 2048
 
@@ -40,6 +42,14 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda x: max(-(2**63), min(2**63 - 1, x)), otypes=[np.int64])(exact)
 
 
+def _first(row: np.ndarray, score: np.ndarray, position: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` entries of each row with the highest score, ties by the smaller position."""
+    order = np.lexsort((position, ~score, row))
+    row, score, position = row[order], score[order], position[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], score[rank < k], position[rank < k]
+
+
 def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
     out = []
     if len(queries) and len(vectors):
@@ -48,27 +58,18 @@ def _tile(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, scale: int) -> p
         v, v_id = quantised(vectors["_v"], scale), vectors["_id"].to_numpy()
         q_row, v_row = queries["_row"].to_numpy(), vectors["_row"].to_numpy()
         for a in range(0, len(q), 256):
-            best_s = best_j = best_ok = None
+            # row, score and position of the best of each row so far
+            best = [np.empty(0, np.int64)] * 3
             for b in range(0, len(v), _STEP):
                 s = _scores(q[a : a + 256], v[b : b + _STEP])
-                valid = q_row[a : a + 256, None] != v_row[None, b : b + _STEP]
-                # all that reach the k-th best score, then ties by position, which is by id
-                s = np.where(valid, s, np.iinfo(np.int64).min)
-                j = np.broadcast_to(np.arange(b, b + s.shape[1]), s.shape)
-                if best_s is not None:
-                    s, j = np.concatenate([best_s, s], 1), np.concatenate([best_j, j], 1)
-                    valid = np.concatenate([best_ok, valid], 1)
-                n = min(k, s.shape[1])
-                kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                keep_s, keep_j, keep_ok = (np.zeros((len(s), n), t) for t in (np.int64, np.int64, bool))
-                for i in range(len(s)):
-                    c = np.flatnonzero(s[i] >= kth[i])
-                    c = c[np.lexsort((j[i, c], ~s[i, c], ~valid[i, c]))][:n]
-                    keep_s[i], keep_j[i], keep_ok[i] = s[i, c], j[i, c], valid[i, c]
-                best_s, best_j, best_ok = keep_s, keep_j, keep_ok
-            for i in range(len(best_s)):
-                ok = best_ok[i]
-                out.append(pd.DataFrame({"query_id": q_id[a + i], "vec_id": v_id[best_j[i, ok]], "score": best_s[i, ok], "_query": q_row[a + i]}))
+                own = q_row[a : a + 256, None] == v_row[None, b : b + _STEP]
+                s = np.where(own, np.iinfo(np.int64).min, s)
+                # all that reach the k-th best score of the part; ties are settled by position, which is by id
+                least = s.min(axis=1) if s.shape[1] <= k else np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                i, j = np.nonzero((s >= least[:, None]) & ~own)
+                best = _first(*(np.concatenate(x) for x in zip(best, (i, s[i, j], j + b), strict=True)), k)
+            i, score, j = best
+            out.append(pd.DataFrame({"query_id": q_id[a + i], "vec_id": v_id[j], "score": score, "_query": q_row[a + i]}))
     return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score", "_query")})
 
 
@@ -79,10 +80,13 @@ def top_k(df: DataFrame, is_query: F.Column, id: str = "vec_id", vector: str = "
     Null vectors and vectors with a null or non-finite component take no part,
     nor do rows with a null id.  A row is no candidate for itself, but rows
     that repeat its id and vector are for each other.  Vectors of different
-    lengths aren't compared.  Scores beyond a long are cut to its ends.
+    lengths aren't compared; a very long vector counts like any other.  Scores
+    beyond a long are cut to its ends.  A column of texts isn't looked at.
     Other columns are ignored.
     """
+    # written out, so that a row keeps its number wherever it is read
     rows = df.select(F.col(id).cast("long").alias("_id"), F.col(vector).alias("_v"), is_query.alias("_is_query"), F.size(vector).alias("_dim"), F.monotonically_increasing_id().alias("_row")).filter(F.col("_id").isNotNull() & _usable("_v"))
+    rows = settle(rows, "vectors")
     n_vectors, n_queries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("_is_query").cast("long")), F.lit(0))).first()
     across, down = max(1, math.ceil(n_vectors / tile_vectors)), max(1, math.ceil(n_queries / tile_queries))
     # neither side may have too few blocks to share the work, nor tiles that are too small to pay

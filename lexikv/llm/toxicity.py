@@ -75,26 +75,36 @@ class Model(NamedTuple):
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settings = Settings(), id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from labelled documents for which ``held_out`` (over ``id``) is false.
 
-    At most ``sample_rows`` labels are used, chosen by a hash of the id; one
-    task learns from them in that order, ``epochs`` times, reading them as a
-    stream.  Null labels and labels without a document are passed over; a null
-    text is empty.  Without any label the model gives 0.5 for every text.
+    At most ``sample_rows`` labelled rows are used, chosen by a hash of the id.
+    Tasks over the documents turn each into its distinct coordinates, at most
+    ``2**bits`` whatever its length; one task learns from these in the order of
+    the hash, ``epochs`` times, reading them as a stream.  Null labels and
+    labels without a document are passed over; a null text is empty; rows that
+    repeat an id are examples of their own, within ``sample_rows``.  Without
+    any label the model gives 0.5 for every text.
     """
     small_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).filter(~F.coalesce(held_out, F.lit(False))).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(id).alias("_order")).orderBy("_order", "_id", "_label").limit(settings.sample_rows)
     # bounded by sample_rows
-    joined = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
-    epochs = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
-    stream = epochs.select("_epoch", "_order", "_text", "_label").repartition(1).sortWithinPartitions("_epoch", "_order", "_label", F.xxhash64("_text"))
+    joined = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").select("_order", "_label", "_text")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(settings)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "_text", 1 << 20):
             at, row = features(batch.column("_text"), settings.bits)
-            cuts = np.searchsorted(row := row[order := np.argsort(row, kind="stable")], np.arange(batch.num_rows + 1))
-            at = at[order]
-            for i, y in enumerate(batch.column("_label").to_pylist()):
-                model.learn(np.unique(at[cuts[i] : cuts[i + 1]]), y)
+            pairs = np.unique((row << settings.bits) + at)
+            cuts = np.searchsorted(pairs, np.arange(batch.num_rows + 1) << settings.bits).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs & ((1 << settings.bits) - 1)).astype(np.int32)))], ["_order", "_label", "_at"])
+
+    order = ["_order", "_label", F.xxhash64("_at")]
+    examples = joined.mapInArrow(hashed, "_order long, _label int, _at array<int>").orderBy(*order).limit(settings.sample_rows)
+    epochs = examples.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
+    stream = epochs.repartition(1).sortWithinPartitions("_epoch", *order).select("_label", "_at")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ftrl(settings)
+        for batch in batches:
+            for y, at in zip(batch.column("_label").to_pylist(), batch.column("_at"), strict=True):
+                model.learn(at.values.to_numpy(), y)
         w = model.weights(slice(None))
         at = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_pydict({"bias": [float(w[-1])], "at": [at.tolist()], "weight": [w[at].tolist()]})
@@ -118,7 +128,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
     """``docs`` with columns score (0 to 1) and predicted (1 if score >= ``threshold``).
 
     A null or empty text has the score of the bias alone.  Columns of ``docs``
-    of those names are replaced.
+    of those names are replaced.  A text of any length is scored whole, alone
+    in its slice of a batch.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -38,11 +38,16 @@ class _Node:
 
 
 class _Path:
-    __slots__ = ("ends", "segments")
+    __slots__ = ("ends", "lengths", "segments")
 
     def __init__(self) -> None:
         self.segments: dict[str, _Path] = {}
         self.ends: dict[str, Rule] = {}  # by the unfinished last segment
+        self.lengths: list[int] = []  # those of ``ends``, longest first
+
+    def end(self, rest: str, rule: Rule) -> None:
+        self.ends[rest] = rule
+        self.lengths = sorted({*self.lengths, len(rest)}, reverse=True)
 
 
 class UrlTrie:
@@ -58,7 +63,7 @@ class UrlTrie:
             *done, rest = rule.path.split("/")
             for segment in done:
                 at = at.segments.setdefault(segment, _Path())
-            at.ends[rest] = rule
+            at.end(rest, rule)
 
     def find(self, host: str, path: str) -> Rule | None:
         """The rule that wins for an already normalised host and path."""
@@ -76,8 +81,9 @@ class UrlTrie:
 def _deepest(at: _Path | None, segments: list[str]) -> Rule | None:
     best = None
     for segment in segments:
-        for n in range(len(segment) + 1) if at.ends else ():
-            best = at.ends.get(segment[:n], best)
+        # a rule's remainder is looked up by the lengths that rules have, so a long segment costs no more than a short one
+        found = (at.ends.get(segment[:n]) for n in at.lengths if n <= len(segment))
+        best = next((rule for rule in found if rule), best)
         at = at.segments.get(segment)
         if at is None:
             break
@@ -100,7 +106,8 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
 
     Same-named columns of ``df`` are replaced.  A null URL, or one without
     ``://``, has an empty host and path and gets ``default``, as does any that
-    no rule fits.  An empty rule list gives ``default`` everywhere.
+    no rule fits.  An empty rule list gives ``default`` everywhere.  A URL of
+    any length is judged whole, in time that grows with its length alone.
     """
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 

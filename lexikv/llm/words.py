@@ -1,13 +1,16 @@
 """Words of whole text columns as numpy arrays, straight from Arrow buffers.
 
 A word is a maximal run of word bytes inside one row; A-Z count as a-z.  Words
-are identified by a 64-bit hash: a polynomial over the lower-cased bytes, made
-from one prefix sum per piece of text, then mixed.  Two of n different words
-share a hash with a probability of about n*n / 2**65.
+are identified by a 64-bit hash: each (place, lower-cased byte) has a scrambled
+64-bit number, a word has their sum, scrambled again.  Two given words differ
+in numbers that have nothing to do with each other, so they share a hash with
+probability 2**-64 whatever their letters, and some two of n words with about
+n*n / 2**65.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 17
 _U = np.uint64
 
@@ -51,19 +53,29 @@ def salt(n: int) -> np.uint64:
     return mix(np.array([n * 0x2545F4914F6CDD1D + 1 & 0xFFFFFFFFFFFFFFFF], _U))[0]
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+def _numbers(place: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return mix((place.astype(_U) << _U(8) | letters) * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019))
 
-    up = down = np.ones(1, _U)
 
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(n, base, _U)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.up, cls.down
+_NEAR = 64  # places whose numbers are kept in a table
+_TABLE = _numbers(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256, dtype=np.uint8), _NEAR))
+
+
+def _hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash of each of the words that ``letters`` holds one after the other; a very long word goes through in parts."""
+    first = np.cumsum(lengths) - lengths
+    total = np.zeros(len(lengths), _U)
+    for a in range(0, len(letters), _PIECE):
+        b = min(a + _PIECE, len(letters))
+        lo, hi = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b))
+        begin = np.maximum(first[lo:hi], a) - a
+        place = np.arange(a, b) - np.repeat(first[lo:hi], np.diff(begin, append=b - a))
+        part = letters[a:b]
+        numbers = _TABLE[np.minimum(place, _NEAR - 1) * 256 + part]
+        far = np.flatnonzero(place >= _NEAR)
+        numbers[far] = _numbers(place[far], part[far])
+        total[lo:hi] += np.add.reduceat(numbers, begin)
+    return mix(total)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +119,7 @@ def scan(column: pa.Array, word_bytes: np.ndarray = NOT_BLANK) -> Words:
         begins[1:] &= ~inside[:-1] | fresh[1:-1]
         stops[:-1] &= ~inside[1:] | fresh[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        up, down = _Powers.get(len(piece) + 1)
-        sums = np.zeros(len(piece) + 1, _U)
-        np.cumsum((LOWER[piece].astype(_U) + _U(1)) * up[: len(piece)], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s]
-        hashes.append(mix(h ^ ((e - s).astype(_U) * _U(0xD6E8FEB86659FD93))))
+        hashes.append(_hashes(LOWER[piece[inside]], e - s))
         starts.append(s + a)
         ends.append(e + a)
         a = b
@@ -137,14 +145,35 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     begin = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(out_counts)])[:-1], out_counts) + np.arange(out_counts.sum())
     length = np.repeat(np.minimum(counts, n), out_counts)
     total = length.astype(_U) * _U(0xA24BAED4963EE407)
-    up, _ = _Powers.get(n + 1)
     padded = np.concatenate([h, np.zeros(n, _U)])
     for j in range(n):
-        term = padded[begin + j] * up[j + 1]
+        term = padded[begin + j] * (salt(3000 + j) | _U(1))
         total += term if j == 0 else np.where(length > j, term, _U(0))
     return mix(total), out_counts
 
 
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: bytes that are mostly 0 stand together and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``budget`` bytes in each, or one row."""
     for batch in batches:
@@ -154,3 +183,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Itera
             j = max(i + 1, int(np.searchsorted(at, at[i] + budget, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()

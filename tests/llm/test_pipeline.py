@@ -50,7 +50,9 @@ def test_filtering_stages_keep_columns_and_odd_rows(spark, odd_rows, stage):
     docs = odd.unionByName(queries.table(spark, SF, "documents"), allowMissingColumns=True)
     out = stage(spark, docs, SF)
     assert out.columns == docs.columns
-    assert {None, 10_040, 10_041, 10_042} <= {r.doc_id for r in out.collect()}
+    rows = out.collect()
+    assert {None, 10_040, 10_041, 10_042} <= {r.doc_id for r in rows}
+    assert {r.score for r in rows if r.doc_id is None or r.doc_id >= 10_000} == {9.0}  # a column of the input's own
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 

@@ -24,7 +24,7 @@ def test_lm_probabilities_of_a_context_sum_to_one(spark):
     base = [(1, "a b a c", "s"), (2, "b a", "s"), (3, "c", "s")]
     texts = ["a", *(f"a {w}" for w in ["a", "b", "c", "zz"])]
     docs = make_docs(spark, [*base, *((100 + k, t, "s") for k, t in enumerate(texts)), *((200 + k, w, "s") for k, w in enumerate(["a", "b", "c", "zz"]))])
-    s = lm.Settings(mu=2.0)
+    s = lm.Settings(order=2, mu=2.0)
     score = {r.doc_id: 10**r.score for r in lm.score_texts(docs, F.col("doc_id") >= 100, s).collect()}
     p = brute_p([t for _, t, _ in base], 2.0)
     assert sum(p("<s>", w) for w in ["a", "b", "c", "zz", "</s>"]) == pytest.approx(1)
@@ -84,3 +84,49 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     model = toxicity.train(odd_docs, labels, F.lit(False))
     assert toxicity.score(odd_docs, model).count() == odd_docs.count()
     assert toxicity.score(no_docs, model).count() == 0
+
+
+def plain_ftrl(examples, s):
+    """FTRL-proximal over sets of coordinates, one number at a time."""
+    import math
+    from collections import defaultdict
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else (math.copysign(s.l1, z[i]) - z[i]) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for at, y in examples:
+            ws = {i: weight(i) for i in [*at, "bias"]}
+            g = 1 / (1 + math.exp(-sum(ws.values()))) - y
+            for i, w in ws.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w
+                n[i] += g * g
+    return {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rows, marks = _toxic_rows()
+    s = toxicity.Settings(bits=12, l1=0.5)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    held_out = toxicity.id_hash("doc_id", 4) == 2
+    model = toxicity.train(make_docs(spark, rows), labels, held_out, s)
+    order = labels.filter(~held_out).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()
+    text = {i: t for i, t, _ in rows}
+    examples = [(sorted(set(toxicity.features(pa.array([text[r.doc_id]]), s.bits)[0].tolist())), r.toxic) for r in order if r.doc_id in text]
+    want = plain_ftrl(examples, s)
+    assert model.bias == pytest.approx(want.pop("bias", 0.0))
+    assert model.at.tolist() == sorted(want)
+    assert np.allclose(model.weight, [want[i] for i in model.at.tolist()])
+
+
+def test_toxicity_sample_bounds_rows_that_repeat_an_id(spark):
+    docs = make_docs(spark, [(7, f"word{i}", "s") for i in range(200)])
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    once, more = (toxicity.train(docs, labels, F.lit(False), toxicity.Settings(l1=0.0, epochs=1, sample_rows=k)) for k in (1, 50))
+    assert len(once.at) == 1
+    assert len(more.at) == 50

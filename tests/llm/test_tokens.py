@@ -26,3 +26,24 @@ def test_any_text(name, texts):
     path = public_tokenizers.path(name)
     for text, ids in zip(texts, TokenIds.of(path).ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == TokenIds.of(path).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_long_texts_are_encoded_in_parts(name, monkeypatch):
+    from lexikv.llm import tokens
+
+    monkeypatch.setattr(tokens, "_SPAN", 50)
+    own = TokenIds(public_tokenizers.path(name))
+    for text in ["one two  three\nfour, five-six " * 40, "été \x85 word end\u200b next word " * 30, "x" * 5000, "a b " * 300 + "<|endoftext|> c d" * 20]:
+        assert len(own._spans(text)) > 1 or " " not in text
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_kept_chunks_are_bounded(monkeypatch):
+    from lexikv.llm import tokens
+
+    monkeypatch.setattr(tokens, "_KEEP_BYTES", 20_000)
+    own = TokenIds(public_tokenizers.path(FILES[0]))
+    for k in range(20):
+        own.ids([" ".join(f"w{k}x{i}" for i in range(100))])
+        assert len(own._kept) < 400

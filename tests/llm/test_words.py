@@ -48,3 +48,21 @@ def test_slices_bound_bytes():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, "b" * 5, None, "c" * 100, "d"]})
     parts = list(W.slices(iter([batch]), "t", 16))
     assert [p.num_rows for p in parts] == [3, 1, 1]
+
+
+def test_words_without_structure_in_their_hash():
+    word = "a"
+    swap = str.maketrans("ab", "ba")
+    while len(word) < 4096:  # Thue-Morse words and their complements meet in polynomial hashes modulo 2**64
+        word += word.translate(swap)
+    for n in (64, 1024, 2048, 4096):
+        assert W.word_hash(word[:n]) != W.word_hash(word[:n].translate(swap))
+
+
+def test_a_long_word_goes_through_in_parts():
+    long = "xy" * 300_000
+    w = W.scan(pa.array([f"a {long} b", long, "a b"]))
+    assert w.counts.tolist() == [3, 1, 2]
+    assert w.hash[1] == w.hash[3] != w.hash[0]
+    assert (w.hash[0], w.hash[2]) == (w.hash[4], w.hash[5])
+    assert W.word_hash(long) == w.hash[1]
