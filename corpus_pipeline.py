@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from lexikv.llm import decontaminate, near_dup, packing, toxicity
 from lexikv.llm import queries as q
-from lexikv.workspace import settle
+from lexikv.workspace import passing, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labels of ``docs`` and keep what isn't predicted toxic."""
+    """Learn from the labels of ``docs`` and keep what isn't predicted toxic, with the columns it had."""
     model = toxicity.train(docs, q.table(spark, sf_dir, "labels"), F.lit(False))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    judged = toxicity.score(docs.select("text", F.struct("*").alias("_row")), model)
+    return judged.filter("predicted = 0").select("_row.*")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -23,9 +24,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group: that of least id, rows without an id last.  Each row is compared, also those that repeat an id."""
+    """Keep one row of each group: that of least id, rows without an id last.
+
+    Each row is compared, also those that repeat an id.
+    """
     rows = _numbered(docs)
-    found = near_dup.near_duplicates(rows, id="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), "kept")
+    found = near_dup.near_duplicates(rows, id="_row")
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), "kept")
     groups = settle(found.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row"), "groups")
     # a group bears the number of its least row, which is the one kept unless another has the least id
     least = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_least"))
@@ -37,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep rows without a passage of the benchmark; each row is judged by its own text."""
     rows = _numbered(docs)
-    hit = decontaminate.contamination(rows, q.table(spark, sf_dir, "benchmark"), id="_row").filter("contaminated").select(F.col("doc_id").alias("_row"))
+    hit = decontaminate.contamination(rows, q.table(spark, sf_dir, "benchmark"), id="_row").filter("contaminated")
+    hit = hit.select(F.col("doc_id").alias("_row"))
     return rows.join(hit, "_row", "left_anti").select(docs.columns)
 
 
@@ -45,14 +51,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written out before the next reads it."""
+    """All stages over documents; each stage's result is written out before the next reads it, and its own tables are deleted."""
     docs = q.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = settle(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

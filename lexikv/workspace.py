@@ -11,6 +11,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,16 +67,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete all scratch paths that this session made."""
+def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch paths that this session made: these, or all."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for owner, path in list(_made):
-        if owner is spark:
+        if owner is spark and (paths is None or path in paths):
             hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
             _made.remove((owner, path))
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths made inside are deleted at the end, but for the last: the result, which must not read the others any more."""
+    shared_dir(spark)  # made before, as it stays
+    before = len(_made)
+    yield
+    discard(spark, [path for owner, path in _made[before:] if owner is spark and path != _made[-1][1]])
+
+
 @atexit.register
 def _discard_all() -> None:
     for spark in {id(s): s for s, _ in _made}.values():
