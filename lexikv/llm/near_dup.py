@@ -46,7 +46,7 @@ class Settings(NamedTuple):
     trees: int = 4
     branches: int = 3
     tokens: int = 64  #: minwise tokens of a document
-    leaf: int = 512  #: nodes of so many documents are compared exhaustively by tokens
+    leaf: int = 2048  #: nodes of so many documents are compared exhaustively by tokens
     few: int = 64  #: documents unlike the pivot that are compared with a whole node
     cluster_docs: int = 4096  #: clusters of so many documents,
     cluster_shingles: int = 4_000_000  #: and shingles, are resolved by one task
@@ -269,8 +269,9 @@ def _walk(unique: DataFrame, members: DataFrame, s: Settings, confirm: _Confirme
         if last:
             break
         rest = _by_node(large, counts.filter(F.col("left") > s.few).drop("left"), s)
-        # chosen tokens depend on the node, so that nodes branch independently
-        chosen = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(level)) + F.lit(j * (s.tokens // s.branches)), F.lit(s.tokens)).cast("int") for j in range(s.branches)))).alias("c")
+        # chosen tokens depend on the node, so that nodes branch independently; those of the roots are used up
+        free = s.tokens - s.roots
+        chosen = F.explode(F.array(*((F.lit(s.roots) + F.pmod(F.xxhash64("node", F.lit(level)) + F.lit(j * (free // s.branches)), F.lit(free))).cast("int") for j in range(s.branches)))).alias("c")
         branched = rest.select("node", "id", "tokens", chosen).select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "id")
         members = settle(_nodes(branched), "nodes")
     out = found[0]
