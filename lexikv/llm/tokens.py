@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-_KEEP_BYTES = 48 << 20  # of chunks and their ids, as Python objects
+_KEEP_BYTES = 112 << 20  # of chunks and their ids, as Python objects
 _SPAN = 1 << 18  # characters of a text that are cut into chunks at once
 _BLANK_BETWEEN_LETTERS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: White space for one of the regular-expression dialects only, or the start of a special token: such texts are encoded whole.
