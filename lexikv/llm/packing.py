@@ -100,7 +100,7 @@ def pieces(df: DataFrame, tokenizer: str, window: int, end_id: int, id: str = "d
     return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 
 
-def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_pieces: int = 8192, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, block_pieces: int = 4096, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequence ids are unique, not dense: the block of pieces and the window in
