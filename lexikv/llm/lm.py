@@ -44,8 +44,8 @@ from lexikv.workspace import settle, small_batches
 class Settings(NamedTuple):
     order: int = 3
     mu: float = 100.0  #: strength of the prior
-    block_bytes: int = 8 << 20  #: text of a block
-    bucket_keys: int = 2_000_000  #: about so many (block, run) counts meet in one task
+    block_bytes: int = 5 << 20  #: text of a block
+    bucket_keys: int = 1_500_000  #: about so many (block, run) counts meet in one task
 
 
 _END, _START = W.salt(1), W.salt(2)
