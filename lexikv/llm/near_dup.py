@@ -40,6 +40,9 @@ from lexikv.llm.components import connected_components
 from lexikv.workspace import settle, small_batches
 
 
+_BROADCAST_ROWS = 250_000  # of five numbers each, about 20 MB
+
+
 class Settings(NamedTuple):
     words: int = 5
     percent: int = 80  #: link when 100 * intersection >= percent * union
@@ -101,7 +104,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
             own = np.flatnonzero((prints[:, 0] == batch.column("p1").to_numpy()) & (prints[:, 1] == batch.column("p2").to_numpy()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in ("id", *others)), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["id", *others, "set"])
 
-    texts = wanted.join(docs, "doc").select("id", *others, "p1", "p2", "text")
+    # a short list goes to the texts, so that these aren't shuffled; a longer one meets them in a shuffle
+    small = wanted.count() <= _BROADCAST_ROWS
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc").select("id", *others, "p1", "p2", "text")
     made = texts.mapInArrow(full, ", ".join(["id long", *(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in others), "set binary"]))
     return made.dropDuplicates(["id"])  # rows that repeat an id and a text have equal sets
 
