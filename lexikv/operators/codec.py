@@ -17,6 +17,8 @@ from lexikv.config import Config
 from lexikv.functions.header import dict_id as stored_dict_id
 from lexikv.functions.header import id_bytes, is_encoded
 
+#: Larger values are refused before they are inflated, whatever a frame's header claims.
+MAX_VALUE_BYTES = 512 << 20
 #: All dictionaries together are broadcast; beyond this size a registry is refused.
 MAX_DICTIONARY_BYTES = 256 << 20
 
@@ -78,7 +80,8 @@ class Codec:
     def decode(self, stored: Column) -> Column:
         """struct(value, status): ok, raw, dict_miss or corrupt; null for null.
 
-        A value that counts as encoded and can't be decoded has a null value;
+        A value that counts as encoded and can't be decoded, or whose header
+        claims over ``MAX_VALUE_BYTES``, has a null value;
         what becomes of its key is up to the caller (``split_healed``).
         """
         held = self._held
@@ -99,9 +102,10 @@ class Codec:
                     if i not in made:
                         made[i] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held.value[i]) if i else None)
                     try:
-                        plain = made[i].decompress(v[2:])
+                        fits = zstandard.frame_content_size(v[2:]) <= MAX_VALUE_BYTES
+                        plain = made[i].decompress(v[2:]) if fits else b""
                         out.append((plain, OK) if plain else (None, CORRUPT))
-                    except zstandard.ZstdError:
+                    except (zstandard.ZstdError, MemoryError):
                         out.append((None, CORRUPT))
                 yield pd.DataFrame(out, columns=["value", "status"])
 

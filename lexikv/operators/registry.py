@@ -44,7 +44,10 @@ def next_ids(registry: DataFrame, n: int) -> DataFrame:
 
 
 def assign_ids(registry: DataFrame) -> DataFrame:
-    """Give rows without an id, oldest first, the lowest free ids."""
+    """Give rows without an id, oldest first, the lowest free ids.  Raises ValueError if there are more rows than free ids."""
+    taken = registry.agg(F.count_if(F.col("id").isNull()).alias("new"), F.countDistinct(F.when(F.col("id").between(1, MAX_ID), F.col("id"))).alias("held")).first()
+    if taken["new"] > MAX_ID - taken["held"]:
+        raise ValueError(f"{taken['new']} dictionaries want an id; {MAX_ID - taken['held']} are free")
     new = registry.filter(F.col("id").isNull()).withColumn("k", F.row_number().over(Window.orderBy("created", "uuid")))  # a registry has 65535 rows at most
     numbered = new.drop("id").join(next_ids(registry, MAX_ID), "k").select(registry.columns)
     return registry.filter(F.col("id").isNotNull()).unionByName(numbered)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 DEFAULT = "default"
 _CASE_LIMIT = 256
-_BROADCAST_PREFIXES = 100_000
 
 
 def route(key: Column, prefixes: Iterable[str]) -> Column:
@@ -23,17 +22,18 @@ def route(key: Column, prefixes: Iterable[str]) -> Column:
 def route_by(df: DataFrame, namespaces: DataFrame, key: str = "key", prefix: str = "ns") -> DataFrame:
     """``df`` with a column ns, by a table of prefixes.
 
-    A short table becomes a chain of comparisons.  A longer one is joined by
-    equality on (length, prefix of the key of that length), one probe for each
-    length that occurs.  Null and empty prefixes are passed over.
+    A short table becomes a chain of comparisons.  With a longer one each
+    distinct key, found with a map-side combine, is joined by equality on
+    (length, prefix of the key of that length), one probe for each length that
+    occurs, and then named in ``df``.  Null and empty prefixes are passed over.
     """
     known = namespaces.select(F.col(prefix).alias("ns")).filter((F.col("ns") != "") & (F.col("ns") != DEFAULT)).distinct()
     few = [r[0] for r in known.limit(_CASE_LIMIT + 1).collect()]
     rest = [c for c in df.columns if c != "ns"]
     if len(few) <= _CASE_LIMIT:
         return df.select(*rest, route(F.col(key), few).alias("ns"))
-    lengths = sorted((r[0] for r in known.select(F.length("ns")).distinct().collect()), reverse=True)  # few: keys are short
-    keyed = df.select(*rest).withColumn("_row", F.monotonically_increasing_id())
-    probes = keyed.select("_row", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.substring(key, 1, n).alias("ns")) for n in lengths))).alias("p")).select("_row", "p.*").filter(F.length("ns") == F.col("n"))
-    best = probes.join(known, "ns").groupBy("_row").agg(F.max_by("ns", "n").alias("ns"))
-    return keyed.join(best, "_row", "left").select(*rest, F.when(F.col(key).isNotNull(), F.coalesce("ns", F.lit(DEFAULT))).alias("ns"))
+    sizes = known.agg(F.collect_set(F.length("ns")).alias("lengths"))  # one row, as many numbers as prefixes have lengths
+    keys = df.select(F.col(key).alias("_key")).filter(F.col("_key").isNotNull()).distinct()
+    probes = keys.join(F.broadcast(sizes)).select("_key", F.explode("lengths").alias("n")).filter(F.length("_key") >= F.col("n")).select("_key", "n", F.substring(F.col("_key"), F.lit(1), F.col("n")).alias("ns"))
+    best = probes.join(known, "ns").groupBy("_key").agg(F.max_by("ns", "n").alias("ns"))
+    return df.select(*rest).join(best, F.col(key) == F.col("_key"), "left").select(*rest, F.when(F.col(key).isNotNull(), F.coalesce("ns", F.lit(DEFAULT))).alias("ns"))

@@ -1,7 +1,7 @@
 """String commands over tables of (key, stored) and over an ordered command log.
 
 A log has columns seq (unique order), ts, cmd, key, value and, for expiry, ttl
-in seconds.  Values are plain or stored; commands that only move values work on
+in seconds (of psetex in milliseconds).  Values are plain or stored; commands that only move values work on
 either.
 """
 
@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexikv.operators.ordered import carry_last
+from lexikv.workspace import settle
 
 WRITES = ("set", "setex", "psetex", "getset")
 DELETES = ("getdel", "del")
 
 
+def _expires() -> Column:
+    """When a command's time to live ends; null: never."""
+    return F.col("ts") + F.make_dt_interval(secs=F.col("ttl") / F.when(F.col("cmd") == "psetex", 1000).otherwise(1))
+
+
 def live(expire_at: Column, now: Column) -> Column:
     return expire_at.isNull() | (expire_at > now)
 
@@ -41,9 +47,27 @@ def mset(pairs: DataFrame) -> DataFrame:
 
 
 def msetnx(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Pairs that are written: requests of which a key exists already write nothing."""
-    there = pairs.join(store.select("key"), "key", "left_semi").select("request").distinct()
-    return pairs.join(there, "request", "left_anti")
+    """Pairs (request, key, ...) that are written, requests in order: one of which a key exists already writes nothing.
+
+    A key also exists once an earlier request wrote it.  Each round settles the
+    requests that are first in line for all their keys, and those that a
+    written key refuses; rounds are as many as the longest chain of requests
+    that wait for each other.
+    """
+    waiting = settle(pairs.select("request", "key").distinct(), "msetnx-waiting")
+    there, written = store.select("key"), None
+    while True:
+        refused = waiting.join(there, "key", "left_semi").select("request").distinct()
+        left = settle(waiting.join(refused, "request", "left_anti"), "msetnx-left")
+        if left.isEmpty():
+            break
+        first = left.groupBy("key").agg(F.min("request").alias("first"))
+        behind = left.join(first, "key").filter("request > first").select("request").distinct()
+        now = settle(left.join(behind, "request", "left_anti"), "msetnx-written")
+        done = now.select("request").distinct()
+        written = done if written is None else written.unionAll(done)
+        there, waiting = now.select("key"), left.join(done, "request", "left_anti")
+    return pairs.limit(0) if written is None else pairs.join(written, "request", "left_semi")
 
 
 def last_write(log: DataFrame) -> DataFrame:
@@ -56,8 +80,7 @@ def _last_life(log: DataFrame) -> DataFrame:
 
     ``expire_at`` is that of the plain write the value began with; one begun by setnx or append has none.
     """
-    expires = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
-    opened = F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.struct("value", expires.alias("expire_at"))).alias("held"))
+    opened = F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.struct("value", _expires().alias("expire_at"))).alias("held"))
     lives = log.filter(F.col("cmd").isin(*WRITES, *DELETES)).groupBy("key").agg(F.max_by(opened, "seq").alias("_life"))
     began = lives.select(F.col("key").alias("_key"), F.col("_life.seq").alias("_began"))
     later = log.filter(F.col("cmd").isin("setnx", "append")).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
@@ -160,6 +183,10 @@ def ttl_live(log: DataFrame, now: Column) -> DataFrame:
 
 
 def getex(log: DataFrame) -> DataFrame:
-    """``log`` with expire_at after each command: writes, and getex, set it (ttl null: never, as PERSIST); other rows keep it."""
-    sets = F.when(F.col("cmd").isin(*WRITES, "getex"), F.struct((F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))).alias("at")))
+    """``log`` with expire_at after each command.
+
+    Writes, and getex, set it (ttl null: never, as PERSIST); deletes clear it;
+    other rows keep it.
+    """
+    sets = F.when(F.col("cmd").isin(*WRITES, "getex"), F.struct(_expires().alias("at"))).when(F.col("cmd").isin(*DELETES), F.struct(F.lit(None).cast("timestamp").alias("at")))
     return carry_last(log, "key", "seq", sets, "_at", inclusive=True).select(*log.columns, F.col("_at.at").alias("expire_at"))

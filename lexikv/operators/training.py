@@ -13,8 +13,8 @@ from lexikv.config import MIN_DICT_BYTES, Config
 from lexikv.operators.registry import SCHEMA
 from lexikv.operators.sampling import reservoir
 
-#: Sample values brought to the driver, in bytes; samples beyond it are cut to the first by hash.
-MAX_SAMPLE_BYTES = 64 << 20
+#: Sample values that training may bring to the driver, in bytes; a setting that asks for more is refused.
+MAX_SAMPLE_BYTES = 256 << 20
 
 
 class TrainingError(ValueError):
@@ -23,7 +23,10 @@ class TrainingError(ValueError):
 
 def budget(config: Config) -> int:
     """Bytes of samples that a training uses."""
-    return min(config.min_training_size or 100 * config.dict_size, MAX_SAMPLE_BYTES)
+    wanted = config.min_training_size or 100 * config.dict_size
+    if wanted > MAX_SAMPLE_BYTES:
+        raise TrainingError(f"a training of {wanted} bytes is asked for; at most {MAX_SAMPLE_BYTES} are sampled")
+    return wanted
 
 
 def train(df: DataFrame, config: Config, value: str = "value", seq: str = "seq", seed: int = 0) -> bytes:

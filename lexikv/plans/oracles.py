@@ -45,7 +45,11 @@ SQL: dict[str, str] = {
     "string_get": "SELECT 'page:' || l.doc_id AS key, md5(p.html) AS value_md5 FROM labels l LEFT JOIN pages p ON p.page_id = l.doc_id",
     "string_mget_ordered": "WITH a AS (SELECT page_id AS request, unnest([1, 2, 3, 4]) AS pos, unnest([page_id + 1, page_id - 1, page_id, page_id + 1]) AS p FROM pages) SELECT request, string_agg(coalesce(md5(html), '<null>'), '|' ORDER BY pos) AS \"values\" FROM a LEFT JOIN pages ON pages.page_id = a.p GROUP BY request",
     "string_mset": f"WITH {_LOG} SELECT key, max_by(value, seq) AS value FROM log WHERE cmd = 'set' GROUP BY key",
-    "string_msetnx": f"WITH {_LOG}, w AS (SELECT floor(seq / 10)::BIGINT AS request, seq AS pos, key, value FROM log WHERE cmd = 'set') SELECT * FROM w WHERE request NOT IN (SELECT request FROM w WHERE key IN (SELECT 'user:' || (c_custkey * 3) FROM customer))",
+    "string_msetnx": f"""WITH RECURSIVE {_LOG}, w AS (SELECT floor(seq / 10)::BIGINT AS request, seq AS pos, key, value FROM log WHERE cmd = 'set'),
+r AS (SELECT request, list(DISTINCT key) AS keys, row_number() OVER (ORDER BY request) AS i FROM w GROUP BY request),
+step(i, held, done) AS (SELECT 0::BIGINT, (SELECT list('user:' || (c_custkey * 3)) FROM customer), NULL::BIGINT
+  UNION ALL SELECT r.i, CASE WHEN list_has_any(held, keys) THEN held ELSE list_concat(held, keys) END, CASE WHEN NOT list_has_any(held, keys) THEN request END FROM step JOIN r ON r.i = step.i + 1)
+SELECT * FROM w WHERE request IN (SELECT done FROM step WHERE done IS NOT NULL)""",
     "log_last_set": f"WITH {_LOG} SELECT key, max_by(value, seq) AS value, max(seq) AS seq FROM log WHERE cmd = 'set' GROUP BY key",
     "log_final_state": f"WITH {_LOG}, {_LIVES} SELECT key, after AS value FROM rp QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL",
     "log_setnx_first": f"WITH {_LOG}, {_LIVES} SELECT seq, key, (before IS NULL)::INTEGER AS reply FROM rp WHERE cmd = 'setnx'",
@@ -58,7 +62,8 @@ SQL: dict[str, str] = {
 l AS (SELECT *, max(CASE WHEN opener IS NOT NULL THEN ts + to_seconds(ttl) END) FILTER (cmd = 'set') OVER (PARTITION BY key, life) AS e FROM rp)
 SELECT key, after AS value, {_STAMP.format('e')} AS expire_at FROM l
 QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL AND (e IS NULL OR e > TIMESTAMP '2024-01-20 00:00:00')""",
-    "log_getex": f"WITH {_LOG}, s AS (SELECT seq, key, CASE WHEN ttl > 0 THEN ts + to_seconds(ttl) END AS e FROM log WHERE cmd IN ('set','get')) SELECT l.seq, l.key, {_STAMP.format('s.e')} AS expire_at FROM log l ASOF LEFT JOIN s ON s.key = l.key AND s.seq <= l.seq",
+    "log_getex": f"""WITH {_LOG}, s AS (SELECT seq, key, CASE WHEN cmd <> 'getdel' AND ttl > 0 THEN ts + to_seconds(ttl) END AS e FROM log WHERE cmd IN ('set','get','getdel'))
+SELECT l.seq, l.key, {_STAMP.format('s.e')} AS expire_at FROM log l ASOF LEFT JOIN s ON s.key = l.key AND s.seq <= l.seq""",
     "getrange": f"WITH {_LOG} SELECT seq, CASE WHEN length(value) - 3 >= seq % 5 THEN substr(value, seq % 5 + 1, length(value) - 2 - seq % 5) ELSE '' END AS slice FROM log",
     "setrange": f"WITH {_LOG}, s AS (SELECT seq, left(rpad(value, greatest(length(value), seq % 4)::INTEGER, chr(0)), (seq % 4)::BIGINT) || 'HEAD' || substr(value, seq % 4 + 5) AS value FROM log) SELECT seq, value, strlen(value)::BIGINT AS len FROM s",
     "hash_hget": f"WITH {_CONV}, a AS (SELECT key, (field::BIGINT + 1)::VARCHAR AS field FROM conv) SELECT a.key, a.field, nullif(c.value, '') AS value FROM a LEFT JOIN conv c ON a.key = c.key AND a.field = c.field",
@@ -103,4 +108,24 @@ SELECT event_id, CASE u WHEN 0 THEN floor(x * 1024) WHEN 1 THEN floor(x * 104857
   CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' WHEN 3 THEN 'false' END AS flag, (event_id % 3)::DOUBLE / 2 AS fraction FROM e""",
     "spool_roundtrip": f"WITH {_DOCS} SELECT key, md5(value) AS value_md5 FROM docs",
     "spool_cap": f"WITH {_DOCS}, r AS (SELECT id AS seq, key, 8 + strlen(key) + strlen(value) AS size FROM docs WHERE {_DRAW.format('key')} <= 2147483647) SELECT seq, key FROM (SELECT seq, key, size, sum(size) OVER (ORDER BY seq) AS s FROM r) WHERE s - size < 524288",
+    "cstrlen_bounds": f"WITH {_STRINGS} SELECT key, strlen(value)::BIGINT AS raw_len, true AS in_bound, CASE WHEN strlen(value) < 32 THEN strlen(value)::BIGINT END AS ungated_len FROM strs",
+    "hash_chstrlen_bounds": f"WITH {_CONV} SELECT key, field, strlen(value)::BIGINT AS raw_len, true AS in_bound, CASE WHEN strlen(value) < 32 THEN strlen(value)::BIGINT END AS ungated_len FROM conv",
+    "ns_snapshot_exact": f"""WITH {_STRINGS}, {_CONV}, {_REG}, {_SPREAD}, {_RATIOS},
+k AS (SELECT key, strlen(value) AS n FROM strs UNION ALL SELECT key, strlen(value) FROM conv), r AS (SELECT {_NS} AS ns, n FROM k),
+c AS (SELECT coalesce(ns, 'global') AS ns, count(*) AS writes_total, sum(n)::BIGINT AS bytes_raw_total, sum((n < 32)::INTEGER)::BIGINT AS skipped_min, sum((n > 8192)::INTEGER)::BIGINT AS skipped_max FROM r GROUP BY ROLLUP (ns)),
+a AS (SELECT ns, id AS dict_id, dict_size, n AS total_dicts FROM (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY created DESC, id DESC, dict_size DESC) AS i, count(*) OVER (PARTITION BY ns) AS n FROM spread) WHERE i = 1),
+e AS ({_EWMA.format(group='', a=0.05, part='', src='ratios', by='')})
+SELECT c.*, coalesce(dict_id, 0)::INTEGER AS dict_id, coalesce(dict_size, 0)::BIGINT AS dict_size, coalesce(total_dicts, 0)::BIGINT AS total_dicts,
+  CASE WHEN c.ns IN ('default', 'global') THEN round(ewma, 9) ELSE 0.0 END AS ewma, CASE WHEN c.ns IN ('default', 'global') THEN round(baseline, 9) ELSE 0.0 END AS baseline
+FROM c LEFT JOIN a USING (ns), e""",
+    "string_mgetasync": """WITH a AS (SELECT page_id AS request, unnest([1, 2, 3]) AS pos, unnest([page_id + 1, page_id - 1, page_id]) AS p FROM pages)
+SELECT request, string_agg(coalesce(CASE WHEN pages.page_id % 4 <> 0 THEN md5(html) END, '<null>'), '|' ORDER BY pos) AS "values" FROM a LEFT JOIN pages ON pages.page_id = a.p GROUP BY request""",
+    "hash_hmgetasync": f"""WITH {_CONV}, a AS (SELECT key AS request, unnest([1, 2, 3]) AS pos, unnest(['1', '2', '99']) AS field FROM (SELECT DISTINCT key FROM conv))
+SELECT request, string_agg(coalesce(CASE WHEN a.field <> '1' THEN nullif(c.value, '') END, '<null>'), '|' ORDER BY pos) AS "values" FROM a LEFT JOIN conv c ON a.request = c.key AND a.field = c.field GROUP BY request""",
+    "dict_load_commands": """WITH e AS (SELECT event_id, ['dict:', 'DICT:', 'user:'][event_id % 3 + 1] AS prefix, event_id // 3 % 2 = 1 AS mf, event_id // 6 % 2 = 0 AS master, event_id // 12 % 3 AS origin, event_id // 36 % 3 AS field, event_id // 108 % 3 AS cmd FROM events)
+SELECT event_id, CASE WHEN prefix <> 'user:' AND NOT master AND field < 2 AND cmd < 2 THEN CASE WHEN mf THEN 'lm' ELSE 'ld' END END AS loads, origin = 0 AND master AS compress FROM e""",
+    "dict_publish": """WITH f AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT r::INTEGER AS id FROM range(1, 65536) t(r) WHERE r NOT IN (SELECT p_partkey * 2 FROM part))),
+n AS (SELECT 's' || s_suppkey AS uuid, row_number() OVER (ORDER BY s_suppkey DESC) AS k FROM supplier)
+SELECT 'p' || p_partkey AS uuid, (p_partkey * 2)::INTEGER AS id FROM part UNION ALL SELECT uuid, id FROM n JOIN f USING (k)""",
+    "dict_signed": f"WITH {_REG} SELECT uuid, sha256(uuid) AS signature, dict_size % 3 <> 0 AS valid FROM reg",
 }

@@ -73,6 +73,20 @@ def hash_chstrlen(spark: SparkSession, sf: str) -> DataFrame:
     return _encoded(d.hashes(spark, sf)).select("key", "field", header.stored_length(F.col("encoded.stored")).alias("stored_len"))
 
 
+def _length_bounds(rows: DataFrame, *keys: str) -> DataFrame:
+    """What is certain of stored lengths: a frame is shorter than the value, with its id at most one byte longer; below the size gate the value is stored."""
+    stored, raw = header.stored_length(F.col("encoded.stored")), F.octet_length("value").cast("long")
+    return rows.select(*keys, raw.alias("raw_len"), (stored <= raw + 1).alias("in_bound"), F.when(raw < Config().min_size, stored).alias("ungated_len"))
+
+
+def cstrlen_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return _length_bounds(_encoded(d.strings(spark, sf)), "key")
+
+
+def hash_chstrlen_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return _length_bounds(_encoded(d.hashes(spark, sf)), "key", "field")
+
+
 def setraw_strlen(spark: SparkSession, sf: str) -> DataFrame:
     return d.docs(spark, sf).select("key", header.stored_length(_B("value")).alias("len"), header.is_encoded(_B("value")).alias("is_encoded"))
 
@@ -105,6 +119,12 @@ def ns_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return stats.snapshot(stats.write_counters(rows), reads, registry.active(d.registry(spark, sf)), efficiency.track(d.ratios(spark, sf), 0.05))
 
 
+def ns_snapshot_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of ``ns_snapshot`` that don't depend on the compressor."""
+    exact = ["ns", "writes_total", "bytes_raw_total", "skipped_min", "skipped_max", "dict_id", "dict_size", "total_dicts"]
+    return ns_snapshot(spark, sf).select(*exact, F.round("ewma", 9).alias("ewma"), F.round("baseline", 9).alias("baseline"))
+
+
 def list_namespaces(spark: SparkSession, sf: str) -> DataFrame:
     return stats.namespaces(d.registry(spark, sf))
 
@@ -122,6 +142,14 @@ def string_mget_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("request", F.array_join("values", "|", NOTHING).alias("values"))
 
 
+def string_mgetasync(spark: SparkSession, sf: str) -> DataFrame:
+    near = lambda n: F.concat(F.lit("page:"), (F.col("page_id") + n).cast("string"))
+    pages = d.table(spark, sf, "pages")
+    asked = pages.select(F.col("page_id").alias("request"), F.array(near(1), near(-1), near(0)).alias("keys"))
+    held = pages.select(near(0).alias("key"), F.when(F.col("page_id") % 4 == 0, "").otherwise(F.md5(_B("html"))).alias("value"))
+    return strings.mget(asked, held, empty_is_null=True).select("request", F.array_join("values", "|", NOTHING).alias("values"))
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return d.log(spark, sf).filter("cmd = 'set'").select(F.floor(F.col("seq") / 10).alias("request"), F.col("seq").alias("pos"), "key", "value")
 
@@ -195,6 +223,12 @@ def hash_hmget(spark: SparkSession, sf: str) -> DataFrame:
     return hashes.hmget(asked, d.hashes(spark, sf)).select("request", F.array_join("values", "|", NOTHING).alias("values"))
 
 
+def hash_hmgetasync(spark: SparkSession, sf: str) -> DataFrame:
+    held = d.hashes(spark, sf).withColumn("value", F.when(F.col("field") == "1", "").otherwise(F.col("value")))
+    asked = held.select("key").distinct().select(F.col("key").alias("request"), "key", F.array(*(F.lit(x) for x in ("1", "2", "99"))).alias("fields"))
+    return hashes.hmget(asked, held, empty_is_null=True).select("request", F.array_join("values", "|", NOTHING).alias("values"))
+
+
 def hash_hvals(spark: SparkSession, sf: str) -> DataFrame:
     return hashes.hvals(d.hashes(spark, sf)).select("key", F.array_join("values", "|", NOTHING).alias("values"))
 
@@ -245,6 +279,17 @@ def rewrite_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "key", rewrite.rewrite(F.col("cmd"), F.col("argc"), F.col("key"), config).alias("cmd"))
 
 
+def dict_load_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Which replicated commands load a dictionary, and which writes may be compressed."""
+    n = F.col("event_id")
+    pick = lambda values, by: F.get(F.array(*(F.lit(v) for v in values)), (by % len(values)).cast("int"))
+    key = F.concat(pick(["dict:", "DICT:", "user:"], n), F.col("user_id").cast("string"), pick(["", ":mf"], F.floor(n / 3)))
+    role, origin = pick(["master", "replica"], F.floor(n / 6)), pick(["client", "master", "aof"], F.floor(n / 12))
+    args = F.array(key, pick(["file_name", "FILE_NAME", "other"], F.floor(n / 36)), F.lit("f"), F.lit("data"), F.col("props"))
+    loaded = rewrite.dictionary_load(pick(["HSET", "hset", "HMSET"], F.floor(n / 108)), args, key, role)
+    return d.table(spark, sf, "events").select("event_id", loaded.alias("loads"), rewrite.may_compress(origin, role).alias("compress"))
+
+
 def bernoulli_md5(spark: SparkSession, sf: str) -> DataFrame:
     return d.docs(spark, sf).filter(sampling.bernoulli(F.col("key"), 0.2)).select("key")
 
@@ -318,6 +363,23 @@ def dict_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return registry.by_id(rows).select("id", "uuid")
 
 
+def dict_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids that new dictionaries (of suppliers) get beside those of parts."""
+    none, at = F.lit(None), _now("2020-01-01 00:00:00")
+    rest = [none.cast("binary").alias("dict"), F.array(F.lit("default")).alias("namespaces"), at.alias("created"), none.cast("timestamp").alias("retired"), F.lit(3).alias("level"), none.cast("string").alias("signature"), none.cast("long").alias("dict_size")]
+    held = d.table(spark, sf, "part").select((F.col("p_partkey") * 2).cast("int").alias("id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("uuid"), *rest)
+    added = d.table(spark, sf, "supplier").select(none.cast("int").alias("id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("uuid"), *rest)
+    added = added.withColumn("created", F.col("created") + F.make_dt_interval(days=(F.lit(5000) - F.substring("uuid", 2, 10).cast("int"))))
+    return registry.publish(held, added).select("uuid", "id")
+
+
+def dict_signed(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures of dictionaries, a third of them altered afterwards."""
+    rows = registry.signed(d.registry(spark, sf).withColumn("dict", _B("uuid")))
+    altered = rows.withColumn("dict", F.when(F.col("dict_size") % 3 == 0, F.concat("dict", F.lit(b"x"))).otherwise(F.col("dict")))
+    return registry.signature_holds(altered).select("uuid", "signature", "valid")
+
+
 def dict_reload_diff(spark: SparkSession, sf: str) -> DataFrame:
     r = d.registry(spark, sf)
     return registry.reload_diff(r.filter("id % 3 <> 0"), r.filter("id % 5 <> 0"))
@@ -372,10 +434,10 @@ def spool_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = [
-    codec_roundtrip_docs, codec_roundtrip_dict_conv, size_gate_counts, logical_strlen, hash_hstrlen, cstrlen_le_raw, hash_chstrlen, setraw_strlen, route_longest_prefix, route_many_prefixes, ns_stats_rollup, ns_snapshot, list_namespaces,
-    string_get, string_mget_ordered, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex, getrange, setrange,
-    hash_hget, hash_hmget, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_expiry, rewrite_rules, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
-    ewma_events, retrain_decision, magic_sniff, ascii_ratio, entropy_h8, incompressible_rule, dict_active, dict_ranked, dict_retention, dict_next_ids, dict_by_id, dict_reload_diff, dict_gc_eligible, dict_retire,
+    codec_roundtrip_docs, codec_roundtrip_dict_conv, size_gate_counts, logical_strlen, hash_hstrlen, cstrlen_le_raw, hash_chstrlen, cstrlen_bounds, hash_chstrlen_bounds, setraw_strlen, route_longest_prefix, route_many_prefixes, ns_stats_rollup, ns_snapshot, ns_snapshot_exact, list_namespaces,
+    string_get, string_mget_ordered, string_mgetasync, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex, getrange, setrange,
+    hash_hget, hash_hmget, hash_hmgetasync, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_expiry, rewrite_rules, dict_load_commands, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
+    ewma_events, retrain_decision, magic_sniff, ascii_ratio, entropy_h8, incompressible_rule, dict_active, dict_ranked, dict_retention, dict_next_ids, dict_by_id, dict_publish, dict_signed, dict_reload_diff, dict_gc_eligible, dict_retire,
     manifest_parse, manifest_render, config_parse, spool_roundtrip, spool_cap,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMES}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexikv.functions.parse import base_name, join_names, split_names, time_of, time_text, without_extension
 
+from lexikv.operators.registry import SCHEMA
+
 
 def parse_manifests(texts: DataFrame, text: str = "value", path: str = "path") -> DataFrame:
     """(path, id, dict_file, namespaces, created, level, signature, retired, valid) of whole manifest texts.
@@ -53,5 +55,32 @@ def read_registry(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def save_registry(registry: DataFrame, directory: str) -> None:
-    """Write the registry as a Parquet table; readers see the old or the new one."""
-    registry.write.mode("overwrite").parquet(directory)
+    """Write the registry as a new generation below ``directory``, a Parquet table.
+
+    A marker file, written last, makes it the current one, so a reader sees the
+    old generation or the new one, whole.  Old generations stay for readers
+    that began with them.
+    """
+    spark = registry.sparkSession
+    path = f"{directory.rstrip('/')}/gen-{_generation(spark, directory) + 1:09d}"
+    registry.write.mode("overwrite").parquet(path)  # of an attempt that left no marker, if any
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.done")
+
+
+def _generation(spark: SparkSession, directory: str) -> int:
+    """The newest marked generation; 0 for none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return 0
+    names = [f.getPath().getName() for f in system.listStatus(root)]
+    done = [int(n[4:13]) for n in names if n.startswith("gen-") and n.endswith(".done") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{n}/_SUCCESS"))]
+    return max(done, default=0)
+
+
+def saved_registry(spark: SparkSession, directory: str) -> tuple[int, DataFrame]:
+    """The current generation that ``save_registry`` wrote: its number and rows.  Raises ValueError where there is none."""
+    number = _generation(spark, directory)
+    if not number:
+        raise ValueError(f"{directory} holds no saved registry")
+    return number, spark.read.schema(SCHEMA).parquet(f"{directory.rstrip('/')}/gen-{number:09d}")

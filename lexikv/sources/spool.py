@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 _HEAD = struct.Struct("<II")
@@ -77,19 +77,26 @@ def _batch(keys: list[bytes], values: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["key", "value"])
 
 
-class _Writer(DataSourceWriter):
+def _packed(batch: pa.RecordBatch) -> bytes:
+    keys, values = batch.column("key"), batch.column("value")
+    if keys.null_count or values.null_count:
+        raise ValueError("a spool record has a key and a value; null can't be written")
+    return b"".join(pack_record(k, v) for k, v in zip(keys.to_pylist(), values.to_pylist(), strict=True))
+
+
+class _Writer(DataSourceArrowWriter):
     """Tasks write under names of their own; the commit gives the files their ending."""
 
     def __init__(self, path: str) -> None:
         self.path = path
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         system, path = fs.FileSystem.from_uri(self.path)
         system.create_dir(path, recursive=True)
         name = f"samples-{uuid.uuid4().hex}.part"
         with system.open_output_stream(f"{path}/{name}") as out:
-            for row in rows:
-                out.write(pack_record(bytes(row["key"] or b""), bytes(row["value"] or b"")))
+            for batch in batches:
+                out.write(_packed(batch))
         return _Written(name)
 
     def commit(self, messages: list[_Written | None]) -> None:
