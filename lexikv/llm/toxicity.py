@@ -92,11 +92,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settin
         for batch in W.slices(batches, "_text", 1 << 20):
             at, row = features(batch.column("_text"), settings.bits)
             pairs = np.unique((row << settings.bits) + at)
-            cuts = np.searchsorted(pairs, np.arange(batch.num_rows + 1) << settings.bits).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs & ((1 << settings.bits) - 1)).astype(np.int32)))], ["_order", "_label", "_at"])
+            cuts = np.searchsorted(pairs, np.arange(batch.num_rows + 1) << settings.bits)
+            at = (pairs & ((1 << settings.bits) - 1)).astype("<u4")
+            # as differences, most of which fill one byte of four
+            packed = [W.planes(np.diff(at[a:b], prepend=at.dtype.type(0))) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_label"), pa.array(packed, pa.binary())], ["_order", "_label", "_at"])
 
     order = ["_order", "_label", F.xxhash64("_at")]
-    examples = joined.mapInArrow(hashed, "_order long, _label int, _at array<int>").orderBy(*order).limit(settings.sample_rows)
+    examples = joined.mapInArrow(hashed, "_order long, _label int, _at binary").orderBy(*order).limit(settings.sample_rows)
     epochs = examples.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(settings.epochs))))
     stream = epochs.repartition(1).sortWithinPartitions("_epoch", *order).select("_label", "_at")
 
@@ -104,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, settings: Settin
         model = Ftrl(settings)
         for batch in batches:
             for y, at in zip(batch.column("_label").to_pylist(), batch.column("_at"), strict=True):
-                model.learn(at.values.to_numpy(), y)
+                model.learn(np.cumsum(W.from_planes(at.as_buffer(), "<u4"), dtype=np.int64), y)
         w = model.weights(slice(None))
         at = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_pydict({"bias": [float(w[-1])], "at": [at.tolist()], "weight": [w[at].tolist()]})
