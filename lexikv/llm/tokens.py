@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-_KEEP_BYTES = 112 << 20  # of chunks and their ids, as Python objects
+_KEEP_BYTES = 160 << 20  # of chunks and their ids, about, as Python objects
 _SPAN = 1 << 18  # characters of a text that are cut into chunks at once
 _BLANK_BETWEEN_LETTERS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: White space for one of the regular-expression dialects only, or the start of a special token: such texts are encoded whole.
@@ -25,6 +25,11 @@ _BYTE_LEVEL, _WORD_LEVEL = re.compile(rf" ?{_WORD}| ?\S+|\s+(?!\S)|\s+"), re.com
 _LATIN_1 = " ".join(chr(c) for c in range(0xA1, 0x100)) + " A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
 
 
+def _size(chunks: dict[str, bytes] | set[str]) -> int:
+    """Bytes that chunks and their ids take as Python objects, about."""
+    return 200 * len(chunks) + 2 * sum(map(len, chunks))
+
+
 class TokenIds:
     """``ids(texts)`` gives the bytes of each text's ids; made once per Python worker."""
 
@@ -93,11 +98,11 @@ class TokenIds:
         chunks = [self._cut(t) if t and i not in whole else () for i, t in enumerate(texts)]
         kept = self._kept
         new = set().union(*chunks).difference(kept)
-        if self._kept_bytes > _KEEP_BYTES:
-            kept.clear()
-            self._kept_bytes, new = 0, set().union(*chunks)
+        if self._kept_bytes > _KEEP_BYTES:  # only what these texts use, mostly common words, stays
+            kept = self._kept = {c: kept[c] for c in set().union(*chunks) if c in kept}
+            self._kept_bytes = _size(kept)
         for some in ({c for c in new if c.isspace()}, {c for c in new if not c.isspace()}):
             if some:
                 self._learn(list(some))
-        self._kept_bytes += sum(180 + len(c) + len(kept[c]) for c in new)
+        self._kept_bytes += _size(new)
         return [whole[i] if i in whole else b"".join([kept[c] for c in cs]) for i, cs in enumerate(chunks)]
