@@ -101,8 +101,10 @@ class TokenIds:
         if self._kept_bytes > _KEEP_BYTES:  # only what these texts use, mostly common words, stays
             kept = self._kept = {c: kept[c] for c in set().union(*chunks) if c in kept}
             self._kept_bytes = _size(kept)
-        for some in ({c for c in new if c.isspace()}, {c for c in new if not c.isspace()}):
-            if some:
-                self._learn(list(some))
+        blank = {c for c in new if c.isspace()}
+        if len(new) > len(blank):
+            self._learn(list(new - blank))
+        for c in blank:  # alone, as a mark beside it would join it
+            kept[c] = np.array(self._encode(c), "<u4").tobytes()
         self._kept_bytes += _size(new)
         return [whole[i] if i in whole else b"".join([kept[c] for c in cs]) for i, cs in enumerate(chunks)]
