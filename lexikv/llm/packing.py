@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexikv.llm.tokens import TokenIds
-from lexikv.llm.words import slices
+from lexikv.llm.words import give_back, slices
 from lexikv.workspace import settle, small_batches
 
 
@@ -88,14 +88,16 @@ def pieces(df: DataFrame, tokenizer: str, window: int, end_id: int, id: str = "d
     end, step = np.array([end_id], "<u4").tobytes(), 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer_ids = TokenIds.of(tokenizer).ids
+        encoder = TokenIds.of(tokenizer)
         for batch in slices(batches, "text", 1 << 20):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer_ids(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids(batch.column("text").to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 rows += [(doc, a // 4, min(window, n - a // 4), zlib.crc32(ids[a : a + step]), n) for a in range(0, len(ids), step)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], columns)
+        encoder.rest()
+        give_back()
 
     return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 

@@ -158,10 +158,11 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, file_bytes: int | N
     folder = scratch(df.sparkSession, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, writer, encode = TaskContext.get().partitionId(), DacWriter(), TokenIds.of(tokenizer).ids
+        part, writer, encoder = TaskContext.get().partitionId(), DacWriter(), TokenIds.of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text", 1 << 20):
-            writer.add(batch.column("doc_id").to_pylist(), [x + end for x in encode(batch.column("text").to_pylist())])
+            writer.add(batch.column("doc_id").to_pylist(), [x + end for x in encoder.ids(batch.column("text").to_pylist())])
+        encoder.rest()
         if writer.docs:
             path = f"{folder}/part-{part:06d}.dac"
             writer.write(path)

@@ -9,6 +9,7 @@ so that the common words of a corpus cost a dictionary look-up.
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import re
 
@@ -93,14 +94,23 @@ class TokenIds:
             return [b"".join(self._ids([part])[0] for part in self._spans(texts[0]))]
         return self._ids(texts)
 
+    def rest(self) -> None:
+        """Keep two fifths of what may be kept: the chunks learned first, mostly the commonest.
+
+        For the end of a partition, as a worker lives on idle.
+        """
+        if self._kept_bytes > _KEEP_BYTES * 2 // 5:
+            n = len(self._kept) * (_KEEP_BYTES * 2 // 5) // self._kept_bytes
+            self._kept = dict(itertools.islice(self._kept.items(), n))
+            self._kept_bytes = _size(self._kept)
+
     def _ids(self, texts: list[str | None]) -> list[bytes]:
         whole = {i: np.array(self._encode(t), "<u4").tobytes() for i, t in enumerate(texts) if t and any(x in t for x in _WHOLE)}
         chunks = [self._cut(t) if t and i not in whole else () for i, t in enumerate(texts)]
+        if self._kept_bytes > _KEEP_BYTES:
+            self.rest()
         kept = self._kept
         new = set().union(*chunks).difference(kept)
-        if self._kept_bytes > _KEEP_BYTES:  # only what these texts use, mostly common words, stays
-            kept = self._kept = {c: kept[c] for c in set().union(*chunks) if c in kept}
-            self._kept_bytes = _size(kept)
         blank = {c for c in new if c.isspace()}
         if len(new) > len(blank):
             self._learn(list(new - blank))
