@@ -23,6 +23,7 @@ _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "​", "﻿", "<|")
 #: A word of Latin letters alone is a chunk without the ASCII punctuation that follows it, where no token can span either.
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s!-/:-@\[-`{-~]|\Z)"
 _BYTE_LEVEL, _WORD_LEVEL = re.compile(rf" ?{_WORD}| ?\S+|\s+(?!\S)|\s+"), re.compile(rf"{_WORD}|\S+")
+_LATIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LATIN_1 = " ".join(chr(c) for c in range(0xA1, 0x100)) + " A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
 
 
@@ -53,9 +54,30 @@ class TokenIds:
         self._mark = "\n" if spaces else " \x01 "
         self._mark_ids = self._encode(self._mark)
         self._lower = self._encode(_LATIN_1) == self._encode(_LATIN_1.lower())  # case doesn't matter
+        self._letters = self._letter_table()
         self._kept: dict[str, bytes] = {}
         self._kept_bytes = 0
 
+    def _letter_table(self) -> dict[int, str]:
+        """What the tokenizer's model gets for each Latin letter, and for the blank before a word.
+
+        A Latin word is one piece for the model, which can then be asked
+        directly.  Empty where that would give other ids than the tokenizer.
+        """
+        letters = [c for c in map(chr, range(0x41, 0x100)) if _LATIN_WORD.fullmatch(c) and not (self._lower and c.isupper())]
+        split = self.tokenizer.pre_tokenizer
+        if split is None:
+            return {}
+        table = {ord(c): "".join(piece for piece, _ in split.pre_tokenize_str(c)) for c in letters}
+        if self._find.__self__ is _BYTE_LEVEL:
+            table[ord(" ")] = "".join(piece for piece, _ in split.pre_tokenize_str(" a"))[:-1]
+        words = [*letters, "".join(letters), "".join(reversed(letters)), "the", "naïve", "straße"]
+        words += [" " + w for w in words if ord(" ") in table]
+        return table if all(self._model_ids(w.translate(table)) == self._encode(w) for w in words) else {}
+
+    def _model_ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -66,6 +88,17 @@ class TokenIds:
                 text = text.lower()
         return self._find(text)
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode new Latin words by the tokenizer's model alone."""
+        tokenize, letters = self.tokenizer.model.tokenize, self._letters
+        ids, cuts = [], [0]
+        for w in words:
+            ids += [t.id for t in tokenize(w.translate(letters))]
+            cuts.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        for w, a, b in zip(words, cuts, cuts[1:], strict=False):
+            self._kept[w] = data[a:b]
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one call, parted by marks."""
         if len(self._mark_ids) == 1:
@@ -112,9 +145,13 @@ class TokenIds:
         kept = self._kept
         new = set().union(*chunks).difference(kept)
         blank = {c for c in new if c.isspace()}
-        if len(new) > len(blank):
-            self._learn(list(new - blank))
+        # in a tokenizer that lower-cases, words were lowered where that is safe; others go the long way
+        words = [c for c in new if _LATIN_WORD.fullmatch(c) and not (self._lower and (c[0] == " " or c != c.lower()))] if self._letters else []
+        self._learn_words(words)
+        others = new.difference(blank, words)
+        if others:
+            self._learn(list(others))
         for c in blank:  # alone, as a mark beside it would join it
             kept[c] = np.array(self._encode(c), "<u4").tobytes()
         self._kept_bytes += _size(new)
-        return [whole[i] if i in whole else b"".join([kept[c] for c in cs]) for i, cs in enumerate(chunks)]
+        return [whole[i] if i in whole else b"".join(map(kept.__getitem__, cs)) for i, cs in enumerate(chunks)]
