@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexikv.operators.strings import expiry
+
 
 def _or_null(value: Column) -> Column:
     """Null for an empty value."""
@@ -71,3 +73,41 @@ def hexpire(writes: DataFrame) -> DataFrame:
     """HSETEX and HGETEX: (key, field, expire_at) after the last command (seq, ts, ttl) of each field; ttl null: never."""
     at = F.col("ts") + F.make_dt_interval(secs=F.col("ttl"))
     return writes.groupBy("key", "field").agg(F.max_by(at, "seq").alias("expire_at"))
+
+
+def _last_expiry(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """(key, field, ...) of the last request of each field in ``rows``."""
+    return rows.groupBy("key", "field").agg(F.max_by(F.struct(*columns), "request").alias("_last")).select("key", "field", "_last.*")
+
+
+def hsetex(writes: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new store, replies) of writes (request, ts, key, field, value, cond, unit, ttl) to a store (key, field, value, expire_at).
+
+    ``cond`` FNX writes a request's fields only if the store has none of them,
+    FXX only if it has all; the store counts as it was before these writes, and
+    KEEPTTL leaves the expiry it had.  Units are those of ``strings.expiry``;
+    none means no expiry.  A request names a field once; of several requests
+    the last counts.  Replies are (request, reply): 1 for one that wrote.
+    """
+    old = store.select("key", "field", F.col("expire_at").alias("_until"), F.lit(True).alias("_old"))
+    rows = writes.join(old, ["key", "field"], "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    cond = F.upper(F.max("cond"))
+    goes = F.when(cond == "FNX", ~F.bool_or("_old")).when(cond == "FXX", F.bool_and("_old")).otherwise(True)
+    replies = rows.groupBy("request").agg(goes.cast("int").alias("reply"))
+    until = F.when(F.upper("unit") == "KEEPTTL", F.col("_until")).otherwise(expiry(F.col("ts"), F.col("ttl"), F.col("unit")))
+    last = _last_expiry(rows.join(replies.filter("reply = 1"), "request"), "value", until.alias("expire_at"))
+    rest = store.select("key", "field", "value", "expire_at").join(last.select("key", "field"), ["key", "field"], "left_anti")
+    return rest.unionByName(last), replies
+
+
+def hgetex(requests: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(replies, new store) of requests (request, ts, key, field, unit, ttl) to a store (key, field, value, expire_at).
+
+    A reply is (request, key, field, value), the value null where missing or empty.  A unit sets the
+    field's expiry, PERSIST ends it, none leaves it; of several that do the
+    last counts.
+    """
+    set_by = requests.filter(F.col("unit").isNotNull())
+    last = _last_expiry(set_by, expiry(F.col("ts"), F.col("ttl"), F.col("unit")).alias("_until"), F.lit(True).alias("_set"))
+    until = F.when(F.col("_set"), F.col("_until")).otherwise(F.col("expire_at"))
+    return hget(requests.select("request", "key", "field"), store), store.join(last, ["key", "field"], "left").select("key", "field", "value", until.alias("expire_at"))

@@ -22,6 +22,13 @@ def _expires() -> Column:
     return F.col("ts") + F.make_dt_interval(secs=F.col("ttl") / F.when(F.col("cmd") == "psetex", 1000).otherwise(1))
 
 
+def expiry(at: Column, n: Column, unit: Column) -> Column:
+    """When a time to live of ``n`` ends: EX (seconds) and PX (milliseconds) from ``at``, EXAT and PXAT from 1970; null for other units."""
+    unit, epoch = F.upper(unit), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds, millis = F.make_dt_interval(secs=n), F.make_dt_interval(secs=n / 1000)
+    return F.when(unit == "EX", at + seconds).when(unit == "PX", at + millis).when(unit == "EXAT", epoch + seconds).when(unit == "PXAT", epoch + millis)
+
+
 def live(expire_at: Column, now: Column) -> Column:
     return expire_at.isNull() | (expire_at > now)
 
@@ -190,3 +197,25 @@ def getex(log: DataFrame) -> DataFrame:
     """
     sets = F.when(F.col("cmd").isin(*WRITES, "getex"), F.struct(_expires().alias("at"))).when(F.col("cmd").isin(*DELETES), F.struct(F.lit(None).cast("timestamp").alias("at")))
     return carry_last(log, "key", "seq", sets, "_at", inclusive=True).select(*log.columns, F.col("_at.at").alias("expire_at"))
+
+
+def options(log: DataFrame) -> DataFrame:
+    """``log`` with ``written`` and ``expire_at``: whether each plain write took effect, and the key's expiry after each command.
+
+    Rows also have ``cond`` and ``unit`` (any case, null: none).  A set with NX
+    writes only where the key has no value, with XX only where it has one.
+    EX, PX, EXAT and PXAT say what ``ttl`` is, for writes and getex.  A write
+    without a unit ends the expiry, with KEEPTTL leaves it; a getex ends it
+    with PERSIST and leaves it without a unit.  Keys aren't taken away by
+    expiry between commands.
+    """
+    cmd, cond, unit = F.col("cmd"), F.coalesce(F.upper("cond"), F.lit("")), F.coalesce(F.upper("unit"), F.lit(""))
+    writes, deletes = cmd.isin(*WRITES), cmd.isin(*DELETES)
+    # a set with XX changes nothing about whether there is a value, and after one with NX there is
+    there = F.when(cmd.isin("setnx", "append") | (writes & (cond != "XX")), F.lit(True)).when(deletes, F.lit(False))
+    held = F.coalesce("_there", F.lit(False))
+    rows = carry_last(log, "key", "seq", there, "_there").withColumn("written", writes & ~((cond == "NX") & held) & ~((cond == "XX") & ~held))
+    timed = (F.col("written") & (unit != "KEEPTTL")) | ((cmd == "getex") & ~unit.isin("", "KEEPTTL"))
+    at = F.struct(expiry(F.col("ts"), F.col("ttl"), F.col("unit")).alias("at"))
+    sets = F.when(timed, at).when(deletes, F.struct(F.lit(None).cast(log.schema["ts"].dataType).alias("at")))
+    return carry_last(rows, "key", "seq", sets, "_at", inclusive=True).select(*log.columns, "written", F.col("_at.at").alias("expire_at"))

@@ -31,6 +31,15 @@ st AS (SELECT *, CASE WHEN opener IS NULL THEN min(CASE WHEN cmd IN ('setnx','ap
 af AS (SELECT *, CASE WHEN opener IS NOT NULL OR starts <= seq THEN coalesce(opener, '') || coalesce(string_agg(CASE WHEN cmd = 'append' OR seq = starts THEN value END, '') OVER (PARTITION BY key, life ORDER BY seq), '') END AS after FROM st),
 rp AS (SELECT *, lag(after) OVER (PARTITION BY key ORDER BY seq) AS before FROM af)"""
 
+_UNIT = "['EX', 'PX', 'EXAT', 'PXAT', 'KEEPTTL', 'PERSIST', NULL][{} // 3 % 7 + 1]"
+_UNTIL = """CASE unit WHEN 'EX' THEN ts + to_seconds(ttl) WHEN 'PX' THEN ts + to_milliseconds(ttl)
+  WHEN 'EXAT' THEN TIMESTAMP '1970-01-01' + to_seconds(ttl) WHEN 'PXAT' THEN TIMESTAMP '1970-01-01' + to_milliseconds(ttl) END"""
+_EXPIRING = f"""asked AS (SELECT event_id AS request, ts, 'conv:' || (user_id % 500) AS key, unnest([event_id % 9, event_id % 9 + 1])::VARCHAR AS field, props AS value,
+  ['FNX', 'FXX', NULL][event_id % 3 + 1] AS cond, {_UNIT.format('event_id')} AS unit, event_id % 7 * 86400 AS ttl FROM events),
+held AS (SELECT *, CASE WHEN field::INTEGER % 2 = 0 THEN TIMESTAMP '2030-01-01' END AS until FROM conv),
+judged AS (SELECT a.*, h.key IS NOT NULL AS old, h.until AS before FROM asked a LEFT JOIN held h ON a.key = h.key AND a.field = h.field),
+replies AS (SELECT request, CASE max(cond) WHEN 'FNX' THEN (NOT bool_or(old))::INTEGER WHEN 'FXX' THEN bool_and(old)::INTEGER ELSE 1 END AS reply FROM judged GROUP BY request)"""
+
 SQL: dict[str, str] = {
     "codec_roundtrip_docs": f"WITH {_DOCS} SELECT key, value FROM docs",
     "codec_roundtrip_dict_conv": f"WITH {_CONV} SELECT * FROM conv",
@@ -128,4 +137,27 @@ SELECT event_id, CASE WHEN prefix <> 'user:' AND NOT master AND field < 2 AND cm
 n AS (SELECT 's' || s_suppkey AS uuid, row_number() OVER (ORDER BY s_suppkey DESC) AS k FROM supplier)
 SELECT 'p' || p_partkey AS uuid, (p_partkey * 2)::INTEGER AS id FROM part UNION ALL SELECT uuid, id FROM n JOIN f USING (k)""",
     "dict_signed": f"WITH {_REG} SELECT uuid, sha256(uuid) AS signature, dict_size % 3 <> 0 AS valid FROM reg",
+    "log_set_options": f"""WITH {_LOG},
+o AS (SELECT seq, ts, key, ttl, cmd, ['NX', 'XX', NULL][seq % 3 + 1] AS cond, {_UNIT.format('seq')} AS unit FROM log),
+p AS (SELECT *, coalesce(last_value(CASE WHEN cmd IN ('setnx', 'append') OR (cmd = 'set' AND cond IS DISTINCT FROM 'XX') THEN true WHEN cmd = 'getdel' THEN false END IGNORE NULLS)
+  OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM o),
+w AS (SELECT *, cmd = 'set' AND CASE cond WHEN 'NX' THEN NOT held WHEN 'XX' THEN held ELSE true END AS written FROM p),
+s AS (SELECT seq, key, CASE WHEN cmd <> 'getdel' THEN {_UNTIL} END AS e FROM w
+  WHERE cmd = 'getdel' OR (written AND unit IS DISTINCT FROM 'KEEPTTL') OR (cmd = 'get' AND unit <> 'KEEPTTL'))
+SELECT w.seq, w.key, w.written, {_STAMP.format('s.e')} AS expire_at FROM w ASOF LEFT JOIN s ON s.key = w.key AND s.seq <= w.seq""",
+    "hash_hsetex": f"""WITH {_CONV}, {_EXPIRING},
+n AS (SELECT key, field, value, CASE WHEN unit = 'KEEPTTL' THEN before ELSE {_UNTIL} END AS until FROM judged JOIN replies USING (request)
+  WHERE reply = 1 QUALIFY row_number() OVER (PARTITION BY key, field ORDER BY request DESC) = 1),
+m AS (SELECT * FROM n UNION ALL SELECT key, field, value, until FROM held h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.key = h.key AND n.field = h.field))
+SELECT key, field, md5(value) AS value_md5, {_STAMP.format('until')} AS expire_at FROM m""",
+    "hash_hsetex_replies": f"WITH {_CONV}, {_EXPIRING} SELECT request, reply FROM replies",
+    "hash_hgetex": f"""WITH {_CONV}, {_EXPIRING},
+l AS (SELECT key, field, {_UNTIL} AS e FROM asked WHERE unit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key, field ORDER BY request DESC) = 1)
+SELECT a.request, a.key, a.field, md5(nullif(h.value, '')) AS value_md5, NULL::VARCHAR AS expire_at FROM asked a LEFT JOIN held h ON a.key = h.key AND a.field = h.field
+UNION ALL SELECT NULL, h.key, h.field, md5(h.value), {_STAMP.format("CASE WHEN l.key IS NULL THEN h.until ELSE l.e END")} FROM held h LEFT JOIN l ON l.key = h.key AND l.field = h.field""",
+    "dict_load_replies": f"""WITH {_REG}, r AS (SELECT *, substr(uuid, 2)::BIGINT * 2 AS s FROM reg)
+SELECT s AS seq, CASE WHEN dict_size % 7 = 0 THEN 'ERR base name' ELSE 'OK' END AS reply FROM r
+UNION ALL SELECT s + 1, CASE WHEN dict_size % 7 = 0 THEN 'ERR base name' ELSE 'OK' END FROM r WHERE dict_size % 5 > 0""",
+    "dict_load_registry": f"""WITH {_REG} SELECT id, uuid, array_to_string(namespaces, ',') AS namespaces, uuid AS dict, strlen(uuid)::BIGINT AS dict_size, {_STAMP.format('created')} AS created
+FROM reg WHERE dict_size % 7 > 0 AND dict_size % 5 > 0""",
 }

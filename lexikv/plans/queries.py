@@ -204,6 +204,20 @@ def log_getex(spark: SparkSession, sf: str) -> DataFrame:
     return strings.getex(rows).select("seq", "key", parse.time_text(F.col("expire_at")).alias("expire_at"))
 
 
+def _option(values: list[str], by: Column) -> Column:
+    """One of ``values`` or, for the number after the last, null."""
+    return F.get(F.array(*(F.lit(v) for v in values)), (by % (len(values) + 1)).cast("int"))
+
+
+_UNITS = ["EX", "px", "EXAT", "PXAT", "KEEPTTL", "PERSIST"]
+
+
+def log_set_options(spark: SparkSession, sf: str) -> DataFrame:
+    seq, cmd = F.col("seq"), F.when(F.col("cmd") == "get", "getex").otherwise(F.col("cmd"))
+    rows = d.log(spark, sf).withColumns({"cmd": cmd, "cond": _option(["NX", "xx"], seq), "unit": _option(_UNITS, F.floor(seq / 3))})
+    return strings.options(rows).select("seq", "key", "written", parse.time_text(F.col("expire_at")).alias("expire_at"))
+
+
 def getrange(spark: SparkSession, sf: str) -> DataFrame:
     return d.log(spark, sf).select("seq", codec.byte_range(_B("value"), (F.col("seq") % 5).cast("int"), -3).cast("string").alias("slice"))
 
@@ -269,6 +283,56 @@ def hash_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return hashes.hexpire(rows).select("key", "field", parse.time_text(F.col("expire_at")).alias("expire_at"))
 
 
+def _expiring(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of two fields each, with options, and a store whose even fields expire."""
+    e, n = d.table(spark, sf, "events"), F.col("event_id")
+    asked = e.select(
+        n.alias("request"), "ts", F.concat(F.lit("conv:"), (F.col("user_id") % 500).cast("string")).alias("key"),
+        F.explode(F.array((n % 9).cast("string"), (n % 9 + 1).cast("string"))).alias("field"), F.col("props").alias("value"),
+        _option(["FNX", "fxx"], n).alias("cond"), _option(_UNITS, F.floor(n / 3)).alias("unit"), (n % 7 * 86400).alias("ttl"),
+    )
+    until = F.when(F.col("field").cast("int") % 2 == 0, F.lit("2030-01-01 00:00:00").cast(e.schema["ts"].dataType))
+    return asked, d.hashes(spark, sf).withColumn("expire_at", until)
+
+
+def hash_hsetex(spark: SparkSession, sf: str) -> DataFrame:
+    store = hashes.hsetex(*_expiring(spark, sf))[0]
+    return store.select("key", "field", F.md5(_B("value")).alias("value_md5"), parse.time_text(F.col("expire_at")).alias("expire_at"))
+
+
+def hash_hsetex_replies(spark: SparkSession, sf: str) -> DataFrame:
+    return hashes.hsetex(*_expiring(spark, sf))[1]
+
+
+def hash_hgetex(spark: SparkSession, sf: str) -> DataFrame:
+    asked, store = _expiring(spark, sf)
+    replies, after = hashes.hgetex(asked, store)
+    value = F.md5(_B("value")).alias("value_md5")
+    replies = replies.select("request", "key", "field", value, F.lit(None).cast("string").alias("expire_at"))
+    left = after.select(F.lit(None).cast("long").alias("request"), "key", "field", value, parse.time_text(F.col("expire_at")).alias("expire_at"))
+    return replies.unionByName(left)
+
+
+def _published(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests and dictionaries as a replica gets them: some base names leave the directory, some dictionaries never come."""
+    r = d.registry(spark, sf)
+    n = F.col("dict_size")
+    base = F.when(n % 7 == 0, F.concat(F.lit("../"), "uuid")).otherwise(F.col("uuid"))
+    seq = F.substring("uuid", 2, 20).cast("long") * 2
+    texts = r.select(seq.alias("seq"), F.lit("lm").alias("cmd"), base.alias("base"), manifest.render_manifest().cast("binary").alias("data"))
+    return texts.unionAll(r.filter(n % 5 > 0).select(seq + 1, F.lit("ld"), base, _B("uuid")))
+
+
+def dict_load_replies(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.load_published(_published(spark, sf))[0]
+
+
+def dict_load_registry(spark: SparkSession, sf: str) -> DataFrame:
+    found = manifest.load_published(_published(spark, sf))[1]
+    names, created = F.array_join("namespaces", ",").alias("namespaces"), parse.time_text(F.col("created")).alias("created")
+    return found.select("id", "uuid", names, F.col("dict").cast("string").alias("dict"), "dict_size", created)
+
+
 def rewrite_rules(spark: SparkSession, sf: str) -> DataFrame:
     names = ["get", "SET", "Substr", "hmset", "HGETALL", "hsetex", "ZADD", "mget", "hset"]
     e = d.table(spark, sf, "events")
@@ -435,8 +499,8 @@ def spool_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 _NAMES = [
     codec_roundtrip_docs, codec_roundtrip_dict_conv, size_gate_counts, logical_strlen, hash_hstrlen, cstrlen_le_raw, hash_chstrlen, cstrlen_bounds, hash_chstrlen_bounds, setraw_strlen, route_longest_prefix, route_many_prefixes, ns_stats_rollup, ns_snapshot, ns_snapshot_exact, list_namespaces,
-    string_get, string_mget_ordered, string_mgetasync, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex, getrange, setrange,
-    hash_hget, hash_hmget, hash_hmgetasync, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_expiry, rewrite_rules, dict_load_commands, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
+    string_get, string_mget_ordered, string_mgetasync, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex, log_set_options, getrange, setrange,
+    hash_hget, hash_hmget, hash_hmgetasync, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_expiry, hash_hsetex, hash_hsetex_replies, hash_hgetex, rewrite_rules, dict_load_commands, dict_load_replies, dict_load_registry, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
     ewma_events, retrain_decision, magic_sniff, ascii_ratio, entropy_h8, incompressible_rule, dict_active, dict_ranked, dict_retention, dict_next_ids, dict_by_id, dict_publish, dict_signed, dict_reload_diff, dict_gc_eligible, dict_retire,
     manifest_parse, manifest_render, config_parse, spool_roundtrip, spool_cap,
 ]

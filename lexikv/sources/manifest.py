@@ -50,10 +50,34 @@ def read_registry(spark: SparkSession, directory: str) -> DataFrame:
     """The registry of a directory of manifests and dictionary files; hidden and unreadable manifests are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*.mf").load(directory).select("path", F.col("content").cast("string").alias("value"))
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*.dict").load(directory).select(base_name(F.col("path")).alias("file"), F.col("content").alias("dict"), F.col("length").alias("dict_size"))
-    found = parse_manifests(files).filter("valid").withColumn("file", base_name(F.col("dict_file")))
+    return _registry_of(files, blobs)
+
+
+def _registry_of(manifests: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Registry rows of manifests (path, value) whose dictionary file is among ``blobs`` (file, dict, dict_size)."""
+    found = parse_manifests(manifests).filter("valid").withColumn("file", base_name(F.col("dict_file")))
     return found.join(blobs, "file").select("id", without_extension(F.col("file")).alias("uuid"), "dict", "namespaces", "created", "retired", "level", "signature", "dict_size")
 
 
+def load_published(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(replies, registry) of a replica's commands (seq, cmd, base, data): lm brings a manifest, ld a dictionary.
+
+    A base name is refused if it is null or empty or could leave the
+    dictionaries' directory: with a slash, a backslash, a zero byte or a dot in
+    front.  Null data is refused too.  Of commands for one file the last
+    counts.  Replies are (seq, reply); the registry has manifests that are
+    valid and whose dictionary has come.
+    """
+    bad = F.coalesce(F.col("base").rlike(r"^\.|[/\\\x00]") | (F.col("base") == ""), F.lit(True))
+    reply = F.when(bad, "ERR base name").when(F.col("data").isNull(), "ERR no data").otherwise("OK")
+    judged = commands.filter(F.col("cmd").isin("lm", "ld")).withColumn("reply", reply)
+    files = judged.filter("reply = 'OK'").groupBy("cmd", "base").agg(F.max_by("data", "seq").alias("data"))
+    manifests = files.filter("cmd = 'lm'").select(F.concat("base", F.lit(".mf")).alias("path"), F.col("data").cast("string").alias("value"))
+    data = F.col("data").cast("binary")
+    blobs = files.filter("cmd = 'ld'").select(F.concat("base", F.lit(".dict")).alias("file"), data.alias("dict"), F.octet_length(data).cast("long").alias("dict_size"))
+    return judged.select("seq", "reply"), _registry_of(manifests, blobs)
+
+
 def save_registry(registry: DataFrame, directory: str) -> None:
     """Write the registry as a new generation below ``directory``, a Parquet table.
 
