@@ -63,7 +63,16 @@ def hgetdel(requests: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def hrandfield(store: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Up to ``n`` fields of each key, chosen by a seeded hash; (key, field, value)."""
+    """Up to ``n`` fields of each key, chosen by a seeded hash; (key, field, value).
+
+    A negative ``n`` draws that many times, each time from all fields of the
+    key, so fields may repeat.
+    """
+    if n < 0:
+        draws = store.select("key", "field", "value", F.explode(F.sequence(F.lit(1), F.lit(-n))).alias("_draw"))
+        lot = F.md5(F.concat_ws(":", F.lit(str(seed)), "key", "_draw", "field").cast("binary"))
+        picked = draws.groupBy("key", "_draw").agg(F.min_by(F.struct("field", "value"), F.struct(lot, "field")).alias("_picked"))
+        return picked.select("key", "_picked.field", "_picked.value")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("field").cast("string")).cast("binary"))
     picked = store.withColumn("_order", order)
     return picked.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("_order", "field"))).filter(F.col("_rank") <= n).select("key", "field", "value")

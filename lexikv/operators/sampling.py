@@ -55,14 +55,30 @@ def reservoir(df: DataFrame, k: int, seed: int = 0, seq: str = "seq") -> DataFra
     return df.withColumn("_order", order).orderBy("_order", seq).limit(k).drop("_order")
 
 
-def training_feed(df: DataFrame, config: Config, key: str = "key", value: str = "value", ns: str = "ns") -> DataFrame:
-    """Values fit for training: right size, in the sample, not packed already, of the default namespace."""
+def _in_window(df: DataFrame, ts: str | None, seconds: int) -> DataFrame:
+    """Rows of the first ``seconds`` after the least time; all without a time column or with 0."""
+    if ts is None or not seconds:
+        return df
+    start = df.agg(F.min(ts).alias("_start"))
+    return df.join(F.broadcast(start), F.col(ts) < F.col("_start") + F.make_dt_interval(secs=F.lit(seconds)), "left_semi")
+
+
+def training_feed(df: DataFrame, config: Config, key: str = "key", value: str = "value", ns: str = "ns", ts: str | None = None) -> DataFrame:
+    """Values fit for training: right size, in the sample, not packed already, of the default namespace.
+
+    With a time column ``ts``, those of the session's window (``training_window_duration``), which the first row opens.
+    """
+    df = _in_window(df, ts, config.training_window_duration)
     right_size = F.octet_length(value).between(config.min_size, config.max_comp_size)
     return df.filter(right_size & F.lit(config.enable_training)).filter(bernoulli(F.col(key), config.sample_p)).filter(F.col(ns) == DEFAULT).filter(~is_incompressible(F.col(value)))
 
 
-def spool_records(df: DataFrame, config: Config, key: str = "key", value: str = "value", seq: str = "seq") -> DataFrame:
-    """Sampled (seq, key, value) until the cap; the record that crosses it is the last."""
+def spool_records(df: DataFrame, config: Config, key: str = "key", value: str = "value", seq: str = "seq", ts: str | None = None) -> DataFrame:
+    """Sampled (seq, key, value) until the cap; the record that crosses it is the last.
+
+    With a time column ``ts``, until ``sample_window_duration`` has passed since the first row.
+    """
+    df = _in_window(df, ts, config.sample_window_duration)
     cap = config.spool_max_bytes or 64 * 1024 * 1024
     rows = df.filter(F.lit(config.enable_sampling) & bernoulli(F.col(key), config.sample_p)).select(F.col(seq).alias("seq"), F.col(key).cast("binary").alias("key"), F.col(value).cast("binary").alias("value"))
     size = F.lit(8) + F.octet_length("key") + F.octet_length("value")

@@ -85,19 +85,25 @@ def last_write(log: DataFrame) -> DataFrame:
 def _last_life(log: DataFrame) -> DataFrame:
     """(key, value, expire_at) of keys that hold a value after the whole log.
 
-    ``expire_at`` is that of the plain write the value began with; one begun by setnx or append has none.
+    ``expire_at`` is that of the last getex on the value, else of the plain write it began with; a value begun by setnx or
+    append has none until a getex.  A getex on a key without a value changes nothing.
     """
     opened = F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.struct("value", _expires().alias("expire_at"))).alias("held"))
     lives = log.filter(F.col("cmd").isin(*WRITES, *DELETES)).groupBy("key").agg(F.max_by(opened, "seq").alias("_life"))
     began = lives.select(F.col("key").alias("_key"), F.col("_life.seq").alias("_began"))
-    later = log.filter(F.col("cmd").isin("setnx", "append")).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
+    later = log.filter(F.col("cmd").isin("setnx", "append", "getex")).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
     chunks = F.array_sort(F.collect_list(F.when(F.col("cmd") == "append", F.struct("seq", F.coalesce("value", F.lit("")).alias("value")))))
-    first = F.min_by(F.struct("cmd", "value"), "seq")
-    added = later.groupBy(F.col("key").alias("_key")).agg(first.alias("_first"), F.array_join(F.transform(chunks, lambda x: x["value"]), "").alias("_text"))
+    is_getex = F.col("cmd") == "getex"
+    first = F.min_by(F.when(~is_getex, F.struct("cmd", "value", "seq")), F.when(~is_getex, F.col("seq")))
+    renewal = F.max_by(F.when(is_getex, F.struct("seq", _expires().alias("expire_at"))), F.when(is_getex, F.col("seq")))
+    text = F.array_join(F.transform(chunks, lambda x: x["value"]), "")
+    added = later.groupBy(F.col("key").alias("_key")).agg(first.alias("_first"), renewal.alias("_renewal"), text.alias("_text"))
     both = lives.join(added, F.col("key").eqNullSafe(F.col("_key")), "full")
     # without a value, the first setnx or append gives one; appends add to it
     opener = F.coalesce("_life.held.value", F.when(F.col("_first.cmd") == "setnx", F.coalesce("_first.value", F.lit(""))), F.when(F.col("_first").isNotNull(), F.lit("")))
-    expire_at = F.when(F.col("_life.held.value").isNotNull(), F.col("_life.held.expire_at"))
+    written = F.col("_life.held.value").isNotNull()
+    renewed = F.col("_renewal").isNotNull() & (written | (F.col("_renewal.seq") > F.col("_first.seq")))
+    expire_at = F.when(renewed, F.col("_renewal.expire_at")).when(written, F.col("_life.held.expire_at"))
     out = both.select(F.coalesce("key", "_key").alias("key"), F.concat(opener, F.coalesce("_text", F.lit(""))).alias("value"), expire_at.alias("expire_at"))
     return out.filter("value is not null")
 
@@ -184,7 +190,7 @@ def append_fold(log: DataFrame) -> DataFrame:
 def ttl_live(log: DataFrame, now: Column) -> DataFrame:
     """(key, value, expire_at) of keys that hold a value after all their commands, not expired at ``now``; expire_at null: never.
 
-    Expiry is judged at ``now`` only, not between commands (as in ``replay``); getex isn't looked at.
+    Expiry is judged at ``now`` only, not between commands (as in ``replay``).
     """
     return _last_life(log).filter(live(F.col("expire_at"), now))
 

@@ -40,6 +40,22 @@ held AS (SELECT *, CASE WHEN field::INTEGER % 2 = 0 THEN TIMESTAMP '2030-01-01'
 judged AS (SELECT a.*, h.key IS NOT NULL AS old, h.until AS before FROM asked a LEFT JOIN held h ON a.key = h.key AND a.field = h.field),
 replies AS (SELECT request, CASE max(cond) WHEN 'FNX' THEN (NOT bool_or(old))::INTEGER WHEN 'FXX' THEN bool_and(old)::INTEGER ELSE 1 END AS reply FROM judged GROUP BY request)"""
 
+_RUNS = """runs AS (SELECT ['doc:', 'doc:en:', 'page:', 'conv:'][user_id % 4 + 1] AS ns, event_id AS seq, event_id % 3 AS t, event_id % 5 = 0 AS failed, event_id % 1009 AS ms FROM events),
+tr AS (SELECT coalesce(ns, 'global') AS ns, count(*) FILTER (t = 0) AS triggers_rise, count(*) FILTER (t = 1) AS triggers_drop,
+  count(*) FILTER (failed) AS trainer_errs, arg_max(ms, seq) AS trainer_ms_last FROM runs GROUP BY ROLLUP (ns))"""
+_SIX = "printf('%.6f', {})"
+#: Entries of stats in their order, with the SQL of their values; null: what depends on the compressor.
+_ENTRIES = {
+    "ns": "x.ns", "ewma_m": _SIX.format("ewma"), "baseline": _SIX.format("baseline"), "comp_ratio": "NULL", "bytes_raw_total": "bytes_raw_total",
+    "bytes_cmp_total": "NULL", "reads_total": "NULL", "writes_total": "writes_total", "dict_id": "dict_id", "dict_size": "dict_size", "total_dicts": "total_dicts",
+    "train_mode": "'FAST'", "retrain": "0", "last_retrain_ms": "0", "trainer_runs": "0", "trainer_errs": "coalesce(trainer_errs, 0)",
+    "trainer_ms_last": "coalesce(trainer_ms_last, 0)", "reservoir_bytes": "held.bytes", "reservoir_items": "held.k", "shadow_pct": "0", "shadow_samples": "0",
+    "shadow_raw": "0", "shadow_saved": "0", "promotions": "0", "rollbacks": "0", "triggers_rise": "coalesce(triggers_rise, 0)",
+    "triggers_drop": "coalesce(triggers_drop, 0)", "cooldown_left": "0", "compress_errs": "0", "decompress_errs": "0", "dict_miss_errs": "0",
+    "skipped_min": "skipped_min", "skipped_max": "skipped_max", "skipped_incomp": "NULL",
+}
+_ENTRY_ROWS = ", ".join(f"{{'pos': {i}, 'entry': '{e}', 'value': ({v})::VARCHAR}}" for i, (e, v) in enumerate(_ENTRIES.items(), 1))
+
 SQL: dict[str, str] = {
     "codec_roundtrip_docs": f"WITH {_DOCS} SELECT key, value FROM docs",
     "codec_roundtrip_dict_conv": f"WITH {_CONV} SELECT * FROM conv",
@@ -161,3 +177,17 @@ UNION ALL SELECT s + 1, CASE WHEN dict_size % 7 = 0 THEN 'ERR base name' ELSE 'O
     "dict_load_registry": f"""WITH {_REG} SELECT id, uuid, array_to_string(namespaces, ',') AS namespaces, uuid AS dict, strlen(uuid)::BIGINT AS dict_size, {_STAMP.format('created')} AS created
 FROM reg WHERE dict_size % 7 > 0 AND dict_size % 5 > 0""",
 }
+
+SQL["stats_training"] = f"WITH {_RUNS} SELECT * FROM tr"
+SQL["stats_entries"] = f"""WITH {_RUNS}, snap AS ({SQL["ns_snapshot_exact"]}), sample AS ({SQL["reservoir_warmup_k"]}),
+own AS (SELECT ns, CASE WHEN ns IN ('default', 'global') THEN k ELSE 0 END AS k, CASE WHEN ns IN ('default', 'global') THEN bytes ELSE 0 END AS bytes FROM snap, sample),
+rows_of AS (SELECT x.ns, unnest([{_ENTRY_ROWS}]) AS e FROM snap x JOIN own held ON held.ns = x.ns LEFT JOIN tr ON tr.ns = x.ns)
+SELECT ns, e.pos AS pos, e.entry AS entry, e.value AS value FROM rows_of"""
+SQL["hash_hrandfield_repeated"] = f"""WITH {_CONV} SELECT key, field FROM (SELECT key, field,
+  row_number() OVER (PARTITION BY key, d ORDER BY md5('5:' || key || ':' || d || ':' || field), field) AS i FROM conv, (SELECT unnest([1, 2, 3]) AS d)) WHERE i = 1"""
+# only a getex on a key with a value counts; a set without a value leaves the key without one
+SQL["log_getex_live"] = f"""WITH {_LOG}, {_LIVES},
+ends AS (SELECT key, arg_max({{'e': CASE WHEN cmd <> 'getdel' AND ttl > 0 THEN ts + to_seconds(ttl) END}}, seq).e AS e
+  FROM rp WHERE cmd IN ('set', 'getdel') OR (cmd = 'get' AND before IS NOT NULL) GROUP BY key),
+l AS (SELECT key, after FROM rp QUALIFY seq = max(seq) OVER (PARTITION BY key) AND after IS NOT NULL)
+SELECT key, after AS value, {_STAMP.format('e')} AS expire_at FROM l LEFT JOIN ends USING (key) WHERE e IS NULL OR e > TIMESTAMP '2024-01-20 00:00:00'"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexikv.config import Config
 from lexikv.functions import header, incompressible, parse
-from lexikv.operators import codec, efficiency, hashes, registry, rewrite, routing, sampling, stats, strings, training
+from lexikv.operators import admin, codec, efficiency, hashes, registry, rewrite, routing, sampling, stats, strings, training
 from lexikv.plans import datasets as d
 from lexikv.sources import manifest, spool
 from lexikv.workspace import scratch, settle
@@ -22,6 +22,11 @@ def _B(column: str) -> Column:  # noqa: N802
     return F.col(column).cast("binary")
 
 
+def _option(values: list[str], by: Column) -> Column:
+    """One of ``values`` or, for the number after the last, null."""
+    return F.get(F.array(*(F.lit(v) for v in values)), (by % (len(values) + 1)).cast("int"))
+
+
 def _now(text: str = "1997-01-01 00:00:00") -> Column:
     return F.to_timestamp(F.lit(text))
 
@@ -110,13 +115,17 @@ def ns_stats_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return stats.write_counters(rows).select("ns", "writes_total", "bytes_raw_total", "skipped_min", "skipped_max")
 
 
-def ns_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+def _snapshot(spark: SparkSession, sf: str, *more: DataFrame) -> DataFrame:
     rows = d.strings(spark, sf).unionByName(d.hashes(spark, sf).drop("field"), allowMissingColumns=True)
     c = codec.Codec(spark, SMALL)
     rows = rows.withColumn("encoded", c.encode(_B("value"))).withColumn("ns", routing.route(F.col("key"), d.PREFIXES)).withColumn("raw_size", F.octet_length("value"))
     rows = settle(rows.select("ns", "raw_size", "encoded"), "stats")
     reads = stats.read_counters(rows.select("ns", c.decode(F.col("encoded.stored")).alias("decoded")))
-    return stats.snapshot(stats.write_counters(rows), reads, registry.active(d.registry(spark, sf)), efficiency.track(d.ratios(spark, sf), 0.05))
+    return stats.snapshot(stats.write_counters(rows), reads, registry.active(d.registry(spark, sf)), efficiency.track(d.ratios(spark, sf), 0.05), *more)
+
+
+def ns_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return _snapshot(spark, sf)
 
 
 def ns_snapshot_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,6 +134,25 @@ def ns_snapshot_exact(spark: SparkSession, sf: str) -> DataFrame:
     return ns_snapshot(spark, sf).select(*exact, F.round("ewma", 9).alias("ewma"), F.round("baseline", 9).alias("baseline"))
 
 
+def _training_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a retraining of a namespace."""
+    n = F.col("event_id")
+    ns = F.get(F.array(*(F.lit(p) for p in d.PREFIXES)), (F.col("user_id") % len(d.PREFIXES)).cast("int"))
+    return d.table(spark, sf, "events").select(ns.alias("ns"), n.alias("seq"), _option(["rise", "drop"], n).alias("trigger"), (n % 5 == 0).alias("failed"), (n % 1009).alias("ms"))
+
+
+def stats_training(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.training_counters(_training_runs(spark, sf))
+
+
+def stats_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries of each namespace; those that depend on the compressor without their value."""
+    sample = sampling.warm_up(_lengths(spark, sf), 1 << 20)
+    entries = admin.stats_entries(_snapshot(spark, sf, stats_training(spark, sf), sample))
+    fixed = ~F.col("entry").isin("comp_ratio", "bytes_cmp_total", "reads_total", "skipped_incomp")
+    return entries.select("ns", "pos", "entry", F.when(fixed, F.col("value")).alias("value"))
+
+
 def list_namespaces(spark: SparkSession, sf: str) -> DataFrame:
     return stats.namespaces(d.registry(spark, sf))
 
@@ -199,14 +227,18 @@ def log_ttl_live(spark: SparkSession, sf: str) -> DataFrame:
     return strings.ttl_live(d.log(spark, sf), _now("2024-01-20 00:00:00")).select("key", "value", parse.time_text(F.col("expire_at")).alias("expire_at"))
 
 
-def log_getex(spark: SparkSession, sf: str) -> DataFrame:
-    rows = d.log(spark, sf).withColumn("cmd", F.when(F.col("cmd") == "get", "getex").otherwise(F.col("cmd"))).withColumn("ttl", F.when(F.col("ttl") > 0, F.col("ttl")))
-    return strings.getex(rows).select("seq", "key", parse.time_text(F.col("expire_at")).alias("expire_at"))
+def _renewing(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with each get as a getex, a time to live of 0 as none."""
+    cmd = F.when(F.col("cmd") == "get", "getex").otherwise(F.col("cmd"))
+    return d.log(spark, sf).withColumns({"cmd": cmd, "ttl": F.when(F.col("ttl") > 0, F.col("ttl"))})
 
 
-def _option(values: list[str], by: Column) -> Column:
-    """One of ``values`` or, for the number after the last, null."""
-    return F.get(F.array(*(F.lit(v) for v in values)), (by % (len(values) + 1)).cast("int"))
+def log_getex_live(spark: SparkSession, sf: str) -> DataFrame:
+    return strings.ttl_live(_renewing(spark, sf), _now("2024-01-20 00:00:00")).select("key", "value", parse.time_text(F.col("expire_at")).alias("expire_at"))
+
+
+def log_getex(spark: SparkSession, sf: str) -> DataFrame:
+    return strings.getex(_renewing(spark, sf)).select("seq", "key", parse.time_text(F.col("expire_at")).alias("expire_at"))
 
 
 _UNITS = ["EX", "px", "EXAT", "PXAT", "KEEPTTL", "PERSIST"]
@@ -278,6 +310,10 @@ def hash_hrandfield(spark: SparkSession, sf: str) -> DataFrame:
     return hashes.hrandfield(d.hashes(spark, sf), 2, seed=5).select("key", "field")
 
 
+def hash_hrandfield_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    return hashes.hrandfield(d.hashes(spark, sf), -3, seed=5).select("key", "field")
+
+
 def hash_expiry(spark: SparkSession, sf: str) -> DataFrame:
     rows = d.table(spark, sf, "events").select(F.col("event_id").alias("seq"), "ts", F.concat(F.lit("conv:"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 100).alias("ttl"))
     return hashes.hexpire(rows).select("key", "field", parse.time_text(F.col("expire_at")).alias("expire_at"))
@@ -498,9 +534,9 @@ def spool_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = [
-    codec_roundtrip_docs, codec_roundtrip_dict_conv, size_gate_counts, logical_strlen, hash_hstrlen, cstrlen_le_raw, hash_chstrlen, cstrlen_bounds, hash_chstrlen_bounds, setraw_strlen, route_longest_prefix, route_many_prefixes, ns_stats_rollup, ns_snapshot, ns_snapshot_exact, list_namespaces,
-    string_get, string_mget_ordered, string_mgetasync, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex, log_set_options, getrange, setrange,
-    hash_hget, hash_hmget, hash_hmgetasync, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_expiry, hash_hsetex, hash_hsetex_replies, hash_hgetex, rewrite_rules, dict_load_commands, dict_load_replies, dict_load_registry, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
+    codec_roundtrip_docs, codec_roundtrip_dict_conv, size_gate_counts, logical_strlen, hash_hstrlen, cstrlen_le_raw, hash_chstrlen, cstrlen_bounds, hash_chstrlen_bounds, setraw_strlen, route_longest_prefix, route_many_prefixes, ns_stats_rollup, ns_snapshot, stats_training, stats_entries, ns_snapshot_exact, list_namespaces,
+    string_get, string_mget_ordered, string_mgetasync, string_mset, string_msetnx, log_last_set, log_final_state, log_setnx_first, log_getset_prev, log_get_asof, log_getdel, log_replay, log_append_fold, log_ttl_live, log_getex_live, log_getex, log_set_options, getrange, setrange,
+    hash_hget, hash_hmget, hash_hmgetasync, hash_hvals, hash_hgetall, hash_hset_new_fields, hash_hset_merged, hash_hsetnx, hash_hgetdel, hash_hrandfield, hash_hrandfield_repeated, hash_expiry, hash_hsetex, hash_hsetex_replies, hash_hgetex, rewrite_rules, dict_load_commands, dict_load_replies, dict_load_registry, bernoulli_md5, reservoir_warmup_k, reservoir_bottom_k, training_feed,
     ewma_events, retrain_decision, magic_sniff, ascii_ratio, entropy_h8, incompressible_rule, dict_active, dict_ranked, dict_retention, dict_next_ids, dict_by_id, dict_publish, dict_signed, dict_reload_diff, dict_gc_eligible, dict_retire,
     manifest_parse, manifest_render, config_parse, spool_roundtrip, spool_cap,
 ]
