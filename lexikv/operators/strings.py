@@ -82,16 +82,16 @@ def last_write(log: DataFrame) -> DataFrame:
     return log.filter(F.col("cmd").isin(*WRITES)).groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-def _last_life(log: DataFrame) -> DataFrame:
+def _last_life(log: DataFrame, renewals: bool = False) -> DataFrame:
     """(key, value, expire_at) of keys that hold a value after the whole log.
 
-    ``expire_at`` is that of the last getex on the value, else of the plain write it began with; a value begun by setnx or
-    append has none until a getex.  A getex on a key without a value changes nothing.
+    ``expire_at`` is that of the plain write the value began with; one begun by setnx or append has none.  With
+    ``renewals``, the last getex on the value replaces it; a getex on a key without a value changes nothing.
     """
     opened = F.struct("seq", F.when(F.col("cmd").isin(*WRITES), F.struct("value", _expires().alias("expire_at"))).alias("held"))
     lives = log.filter(F.col("cmd").isin(*WRITES, *DELETES)).groupBy("key").agg(F.max_by(opened, "seq").alias("_life"))
     began = lives.select(F.col("key").alias("_key"), F.col("_life.seq").alias("_began"))
-    later = log.filter(F.col("cmd").isin("setnx", "append", "getex")).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
+    later = log.filter(F.col("cmd").isin("setnx", "append", *(["getex"] if renewals else []))).join(began, F.col("key").eqNullSafe(F.col("_key")), "left").filter("_began is null or seq > _began")
     chunks = F.array_sort(F.collect_list(F.when(F.col("cmd") == "append", F.struct("seq", F.coalesce("value", F.lit("")).alias("value")))))
     is_getex = F.col("cmd") == "getex"
     first = F.min_by(F.when(~is_getex, F.struct("cmd", "value", "seq")), F.when(~is_getex, F.col("seq")))
@@ -187,12 +187,12 @@ def append_fold(log: DataFrame) -> DataFrame:
     return chunks.select("key", value.alias("value"), F.octet_length(value).cast("long").alias("length"))
 
 
-def ttl_live(log: DataFrame, now: Column) -> DataFrame:
+def ttl_live(log: DataFrame, now: Column, renewals: bool = False) -> DataFrame:
     """(key, value, expire_at) of keys that hold a value after all their commands, not expired at ``now``; expire_at null: never.
 
-    Expiry is judged at ``now`` only, not between commands (as in ``replay``).
+    Expiry is judged at ``now`` only, not between commands (as in ``replay``); getex is looked at with ``renewals`` only.
     """
-    return _last_life(log).filter(live(F.col("expire_at"), now))
+    return _last_life(log, renewals).filter(live(F.col("expire_at"), now))
 
 
 def getex(log: DataFrame) -> DataFrame:

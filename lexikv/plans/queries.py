@@ -234,7 +234,7 @@ def _renewing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_getex_live(spark: SparkSession, sf: str) -> DataFrame:
-    return strings.ttl_live(_renewing(spark, sf), _now("2024-01-20 00:00:00")).select("key", "value", parse.time_text(F.col("expire_at")).alias("expire_at"))
+    return strings.ttl_live(_renewing(spark, sf), _now("2024-01-20 00:00:00"), renewals=True).select("key", "value", parse.time_text(F.col("expire_at")).alias("expire_at"))
 
 
 def log_getex(spark: SparkSession, sf: str) -> DataFrame:

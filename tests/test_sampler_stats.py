@@ -52,7 +52,7 @@ def test_getex_renews_only_what_is_there(spark):
         (11, T, "getex", "e", None, 5), (12, T, "del", "e", None, None), (13, T, "append", "e", "w", None),
     ]
     df = spark.createDataFrame(log, "seq long, ts timestamp, cmd string, key string, value string, ttl long")
-    out = {r.key: (r.value, r.expire_at) for r in strings.ttl_live(df, F.lit(T)).collect()}
+    out = {r.key: (r.value, r.expire_at) for r in strings.ttl_live(df, F.lit(T), renewals=True).collect()}
     at = lambda s: T + dt.timedelta(seconds=s)
     assert out == {"a": ("x", None), "b": ("yz", at(100)), "c": ("n", at(7)), "d": ("m", None), "e": ("w", None)}
 
